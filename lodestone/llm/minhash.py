@@ -9,7 +9,9 @@ hashing. Bands of r coordinates give the candidates; each is confirmed on the fu
 Documents with equal sets form one class whose smallest id stands for it. In each bucket all classes are
 first held against the smallest one; components then drop out all pairs that are already connected, and
 only pairs of different components are held against each other. So a large group of near copies costs
-links in proportion to its size, and no link between components is lost.
+links in proportion to its size, and no link between components is lost. In buckets of over SMALL classes
+these pairs aren't made into rows: blocks of BLOCK classes are compared inside tasks by all coordinates
+(eight bits of each), and only pairs whose estimate comes near the threshold go on to the exact check.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
+SMALL, BLOCK = 16, 1024
 SPACE = C.byte_table(lambda b: b == 0x20 or 9 <= b <= 13)
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -78,7 +81,7 @@ def sketch(row: np.ndarray, value: np.ndarray, n_rows: int, t: int) -> np.ndarra
     return out.reshape(n_rows, t)
 
 
-def _sketch_batches(k: int, t: int, r: int):
+def _sketch_batches(k: int, t: int, r: int, wide: int):
     import pyarrow as pa
 
     def run(batches):
@@ -96,7 +99,10 @@ def _sketch_batches(k: int, t: int, r: int):
                         ids[q, has] = np.add.reduceat(C.mix64(value + np.uint64(salt)), first[has])
                 # each row's rank among those with elements keeps the sketch table small
                 rank = np.cumsum(n > 0) - 1
-                coords = sketch(rank[row], value, len(has), t)
+                coords = sketch(rank[row], value, len(has), wide)
+                low = (coords & np.uint64(255)).astype(np.uint8)
+                brief = iter([x.tobytes() for x in low])
+                coords = coords[:, :t]
                 bands = np.zeros((len(has), t // r), np.uint64)
                 for c in range(r):
                     bands = C.mix64(bands * np.uint64(0x9E3779B97F4A7C15) + coords[:, c::r][:, : t // r])
@@ -110,8 +116,9 @@ def _sketch_batches(k: int, t: int, r: int):
                         pa.array(ids[0].view(np.int64)),
                         pa.array(ids[1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1).view(np.int64))),
+                        pa.array([next(brief) if x else None for x in n.tolist()], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "brief"],
                 )
 
     return run
@@ -142,8 +149,33 @@ def _verify_batches(k: int, num: int, den: int):
     return run
 
 
+def _block_batches(num: int, den: int, wide: int):
+    """Pairs of classes of one bucket, in different components, whose coordinates agree often enough."""
+    import pyarrow as pa
+
+    j = num / den
+    least = wide * (j - 4.75 * np.sqrt(j * (1 - j) / wide))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rep, comp, block = (rows.column(c).to_numpy() for c in ("rep", "component", "block"))
+        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+        brief = np.frombuffer(b"".join(rows.column("brief").to_pylist()), np.uint8).reshape(-1, wide)
+        own = np.flatnonzero(block == lo)
+        other = np.flatnonzero(block == hi)
+        a, b = [], []
+        for i in own.tolist():
+            to = other[(comp[other] != comp[i]) & (rep[other] > rep[i] if lo == hi else True)]
+            close = to[(brief[to] == brief[i]).sum(1) >= least]
+            a.append(np.full(len(close), rep[i]))
+            b.append(rep[close])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return run
+
+
 def near_duplicates(
-    docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), t: int = 128, r: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), t: int = 128, r: int = 4, wide: int = 512, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable), kept.
 
@@ -153,7 +185,7 @@ def near_duplicates(
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sk = C.materialise(
-        src.mapInArrow(_sketch_batches(k, t, r), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "sketch"
+        src.mapInArrow(_sketch_batches(k, t, r, wide), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, brief binary"), "sketch"
     )
     classes = sk.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     reps = sk.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -174,15 +206,23 @@ def near_duplicates(
     first = cand.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = confirmed(first, "links-1")
     comp = C.materialise(C.with_component(cand, "rep", C.connected_components(links)), "grouped")
-    mixed = comp.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = C.materialise(comp.join(mixed, "key"), "open").select("key", "rep", "component")
-    left, right = open_.alias("l"), open_.alias("r")
-    rest = (
-        left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")))
-        .select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
+    mixed = comp.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    open_ = C.materialise(comp.join(mixed, "key").select("key", "rep", "component", "n"), "open")
+    few = open_.where(F.col("n") <= SMALL)
+    left, right = few.alias("l"), few.alias("r")
+    rest = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component"))).select(
+        F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")
+    )
+    many = open_.where(F.col("n") > SMALL).join(sk.select(F.col("doc_id").alias("rep"), "brief").dropDuplicates(["rep"]), "rep")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    many = (
+        many.withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("lo", F.least("block", "other"))
+        .withColumn("hi", F.greatest("block", "other"))
     )
+    close = many.groupBy("key", "lo", "hi").applyInArrow(_block_batches(*threshold, wide), "a long, b long")
+    rest = C.materialise(rest.unionByName(close).distinct(), "rest").join(first, ["a", "b"], "left_anti")
     links = links.unionByName(confirmed(rest, "links-2"))
     comps = C.connected_components(links)
     groups = C.with_component(classes, "rep", comps, "component_id")
