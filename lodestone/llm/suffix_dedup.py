@@ -3,7 +3,11 @@
 Equal strings must meet in one array, and no task may hold the corpus. So every start of a `length`-byte
 string is dealt by the smallest hashed `gram`-byte gram inside that string, which is a function of its bytes
 alone. Starts that share the same gram occurrence form one segment (their strings' union). Grams that occur
-once drop out; of segments with equal content at most two copies go on. Segments meet in shards by their
+once drop out. A string holds its gram and length - gram bytes around it, of which some number of quarters
+(PARTS) stands before it; so two equal strings also share one of PARTS probes, which reach over the gram and
+all but one part. Segments whose probes all occur once drop out too: nothing in them can repeat. Segments of
+equal content become one kind with a multiplicity, in whose own strings every suffix has an equal; the kinds
+of a gram go on if there is one among them that occurs once, and so depends on the others. Segments meet in shards by their
 gram: each shard is one text whose suffix array (Larsson-Sadakane refinement) and common prefixes (Kasai)
 tell which starts have an equal neighbour. A gram with more distinct content than a shard holds is split
 over several shards, and each is merged with the others by binary search of its starts in their arrays.
@@ -21,6 +25,7 @@ from . import common as C
 from . import suffix
 
 SHARD_BYTES = 3_000_000
+PARTS = 8
 _PLAIN = C.byte_table(lambda b: False, lower=False)[0]
 _POS = np.uint64((1 << 28) - 1)
 
@@ -36,16 +41,17 @@ def _lowest(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(raw: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, gram: int):
-    """(row, gram hash, two digests, first start, starts) of every segment of a slice's rows."""
+    """(row, gram hash, two digests, first start, starts, probes) of every segment of a slice's rows."""
     lo = int(start[0])
     data = raw[lo : int(end[-1])]
     s, e = start - lo, end - lo
     n = len(data)
     empty = np.zeros(0, np.int64)
     if n < length:
-        return empty, empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, empty, empty, np.zeros((0, PARTS), np.int64)
     prefix = C.prefix_hash(data)
-    grams = C.span_hash(prefix, np.arange(n - gram + 1), np.arange(gram, n + 1))
+    inverse = C._powers(n + 1, pow(C._BASE, -1, 1 << 64), "i")
+    grams = C.mix64((prefix[gram:] - prefix[:-gram]) * inverse[: n - gram + 1])
     # a gram's place breaks ties in favour of the first, which depends on the string's bytes alone too
     place = np.arange(len(grams), dtype=np.uint64)
     wide = n >= 1 << 28
@@ -75,10 +81,19 @@ def segments(raw: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, g
         rows[gone] = has[np.searchsorted(s[has], first[gone], "right") - 1]
     d1 = C.span_hash(prefix, first, stop - 1 + length)
     second = np.zeros(n + 1, np.uint64)
-    np.cumsum(C.mix64(data.astype(np.uint64) + np.uint64(77)) * C._powers(n, 0xD1342543DE82EF95, "q"), out=second[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(77)) * C._powers(n, 0xD1342543DE82EF95, "q"), out=second[1:])
     inverse = C._powers(n + 1, pow(0xD1342543DE82EF95, -1, 1 << 64), "qi")
     d2 = C.mix64((second[stop - 1 + length] - second[first]) * inverse[first])
-    return rows, grams[picks[first]].view(np.int64), d1.view(np.int64), d2.view(np.int64), first - s[rows], stop - first
+    at, over = picks[first], stop - 1 + length
+    part = -(-(length - gram) // PARTS)
+    probes = np.zeros((len(first), PARTS), np.int64)
+    for k in range(PARTS):
+        a, b = at - part * k, at + gram + length - gram - part * (k + 1)
+        if length - gram < part * (k + 1):
+            b = at + gram
+        ok = (a >= first) & (b <= over)
+        probes[ok, k] = C.span_hash(prefix, a[ok], b[ok]).view(np.int64) ^ np.int64(k * 0x5851F42D4C957F2D % (1 << 62))
+    return rows, grams[at].view(np.int64), d1.view(np.int64), d2.view(np.int64), first - s[rows], stop - first, probes
 
 
 def _segment_batches(length: int, gram: int):
@@ -87,13 +102,14 @@ def _segment_batches(length: int, gram: int):
     def run(batches):
         for batch in batches:
             raw, start, end = C.string_spans(batch.column(2))
-            for i, j in C.byte_slices(start, end):
-                rows, g, d1, d2, first, n = segments(raw, start[i:j], end[i:j], length, gram)
+            for i, j in C.byte_slices(start, end, 300_000):
+                rows, g, d1, d2, first, n, probes = segments(raw, start[i:j], end[i:j], length, gram)
                 part = batch.slice(i, j - i)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(g), pa.array(d1), pa.array(d2), pa.array(first.astype(np.int64)), pa.array(n.astype(np.int64))],
-                    names=["doc_id", "sig", "gram", "d1", "d2", "first", "n"],
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(g), pa.array(d1), pa.array(d2), pa.array(first.astype(np.int64)), pa.array(n.astype(np.int64))]
+                    + [pa.array(np.ascontiguousarray(probes[:, k])) for k in range(PARTS)],
+                    names=["doc_id", "sig", "gram", "d1", "d2", "first", "n", *(f"p{k}" for k in range(PARTS))],
                 )
 
     return run
@@ -103,7 +119,7 @@ def _cut_batches(length: int):
     """(doc_id, sig, text, wanted segments) -> the segments with their bytes."""
     import pyarrow as pa
 
-    names = ["gram", "d1", "d2", "copy", "n", "splits"]
+    names = ["gram", "d1", "d2", "n", "splits"]
 
     def run(batches):
         for batch in batches:
@@ -141,10 +157,8 @@ def repeated_starts(texts: list[bytes], counts: np.ndarray, queries: list[bytes]
     own = np.flatnonzero(valid[sa])
     flags = np.zeros(len(text), bool)
     if len(own) > 1:
-        between = np.minimum.reduceat(lcp, own[:-1] + 1)
-        # reduceat runs up to the next start, which leaves out that start's own prefix
-        between = np.minimum(between, lcp[own[1:]])
-        equal = between >= length
+        # the least prefix from behind one start up to the next, over the suffixes between that aren't starts
+        equal = np.minimum.reduceat(lcp[: own[-1] + 1], own[:-1] + 1) >= length
         flags[sa[own[:-1][equal]]] = True
         flags[sa[own[1:][equal]]] = True
     asked = np.zeros(0, bool)
@@ -212,34 +226,39 @@ def repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 24, shard_byt
     """
     src = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("sig", F.xxhash64("text"))
     long_ = src.where(F.octet_length("text") >= length)
-    seg = C.materialise(long_.select("doc_id", "sig", "text").mapInArrow(_segment_batches(length, gram), "doc_id long, sig long, gram long, d1 long, d2 long, first long, n long"), "segments")
+    seg = C.materialise(long_.select("doc_id", "sig", "text").mapInArrow(_segment_batches(length, gram), "doc_id long, sig long, gram long, d1 long, d2 long, first long, n long" + "".join(f", p{k} long" for k in range(PARTS))), "segments")
     often = seg.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
     seg = C.materialise(seg.join(often, "gram"), "shared-segments")
     place = F.struct("doc_id", "sig", "first", "n")
-    kinds = seg.groupBy("gram", "d1", "d2").agg(F.count("*").alias("c"), F.min(place).alias("a"), F.max(place).alias("b"))
-    copies = F.when(F.col("c") > 1, F.array("a", "b")).otherwise(F.array("a"))
-    picked = kinds.select("gram", "d1", "d2", F.posexplode(copies).alias("copy", "p")).select("gram", "d1", "d2", "copy", "p.*")
-    picked = C.materialise(picked, "picked")
+    probes = [f"p{k}" for k in range(PARTS)]
+    kinds = seg.groupBy("gram", "d1", "d2").agg(F.count("*").alias("c"), F.min(place).alias("a"), F.max(place).alias("b"), *[F.first(p).alias(p) for p in probes])
+    kinds = C.materialise(kinds, "kinds")
+    probed = kinds.select("gram", "d1", "d2", "c", F.explode(F.array(*probes)).alias("probe")).where("probe <> 0")
+    again = probed.groupBy("probe").agg(F.sum("c").alias("all_c")).where("all_c > 1").select("probe")
+    alive = probed.join(again, "probe").select("gram", "d1", "d2").distinct()
+    kinds = kinds.drop(*probes).join(alive, ["gram", "d1", "d2"], "left_semi")
+    kinds = C.materialise(kinds, "alive")
+    lone = kinds.groupBy("gram").agg(F.min("c").alias("least")).where("least = 1").select("gram")
+    picked = C.materialise(kinds.join(lone, "gram", "left_semi").select("gram", "d1", "d2", "c", "a.*"), "picked")
     size = picked.agg(F.sum(F.col("n") + length)).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     heavy = picked.groupBy("gram").agg(F.ceil(F.sum(F.col("n") + length) / F.lit(shard_bytes)).cast("int").alias("splits")).where("splits > 1")
-    wanted = picked.join(heavy, "gram", "left").groupBy("doc_id", "sig").agg(F.collect_list(F.struct("gram", "d1", "d2", "copy", "n", F.coalesce("splits", F.lit(1)).alias("splits"), "first")).alias("want"))
-    cut = long_.join(wanted, ["doc_id", "sig"]).select("text", "want").mapInArrow(_cut_batches(length), "gram long, d1 long, d2 long, copy int, n long, splits int, bytes binary")
+    wanted = picked.join(heavy, "gram", "left").groupBy("doc_id", "sig").agg(F.collect_list(F.struct("gram", "d1", "d2", "n", F.coalesce("splits", F.lit(1)).alias("splits"), "first")).alias("want"))
+    cut = long_.join(wanted, ["doc_id", "sig"]).dropDuplicates(["doc_id", "sig"]).select("text", "want").mapInArrow(_cut_batches(length), "gram long, d1 long, d2 long, n long, splits int, bytes binary")
     dealt = (
         cut.withColumn("shard", F.pmod(F.xxhash64("gram", F.lit("shard")), F.lit(shards)))
         .withColumn("home", F.pmod(F.xxhash64("d1", "d2", F.lit("home")), F.col("splits")))
         .withColumn("split", F.explode(F.expr("sequence(0, splits - 1)")))
         .withColumn("own", F.col("split") == F.col("home"))
-        # every copy of one content has one home, where its copies meet; elsewhere one of them asks
-        .where("own or copy = 0")
         # a split gram has shards of its own
         .withColumn("shard", F.when(F.col("splits") > 1, F.xxhash64("gram", "split")).otherwise(F.col("shard")))
     )
     found = C.materialise(
         dealt.select("shard", "gram", "d1", "d2", "own", "n", "bytes").groupBy("shard").applyInArrow(_shard(length), "gram long, d1 long, d2 long, runs array<long>"), "repeats"
     )
-    found = found.groupBy("gram", "d1", "d2").agg(F.flatten(F.collect_set("runs")).alias("runs"))
-    hits = seg.join(found, ["gram", "d1", "d2"]).select("doc_id", "sig", F.struct("first", "runs").alias("f")).distinct().groupBy("doc_id", "sig").agg(F.collect_list("f").alias("found"))
+    several = kinds.where("c > 1").select("gram", "d1", "d2", F.array(F.lit(0).cast("long"), F.col("a.n")).alias("runs"))
+    found = found.unionByName(several).groupBy("gram", "d1", "d2").agg(F.flatten(F.collect_set("runs")).alias("runs"))
+    hits = seg.drop(*probes).join(found, ["gram", "d1", "d2"]).select("doc_id", "sig", F.struct("first", "runs").alias("f")).distinct().groupBy("doc_id", "sig").agg(F.collect_list("f").alias("found"))
     hits = C.materialise(hits, "hits")
     out = src.join(hits, ["doc_id", "sig"], "left").select("doc_id", "text", "found")
     out = out.mapInArrow(_remove_batches(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept binary")
