@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,11 +31,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{uuid.uuid4().hex[:12]}-{name}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, sweep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if sweep:
+        # lets Spark drop the shuffle files behind tables that nothing refers to any more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

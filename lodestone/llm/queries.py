@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import common as C
 
@@ -14,24 +13,54 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    return line_dedup.dedup_lines(C.table(spark, sf_dir, "documents"))
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    return langid.identify(C.table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
     return decontam.contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    return html_text.main_text(C.table(spark, sf_dir, "pages"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minhash
 
     return minhash.near_duplicates(C.table(spark, sf_dir, "documents"), k=4)
 
 
+def op6_embed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embed_join
+
+    return embed_join.near_vectors(C.table(spark, sf_dir, "embeddings"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
     return packing.pack(C.table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")).drop("ids", "source")
 
 
+def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import unit_dedup
+
+    return unit_dedup.remove_repeats(C.table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix_dedup
 
@@ -46,5 +75,8 @@ def op10_arrow_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_store.read_store(spark, shards)
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_minhash, op7_pack, op9_suffix_dedup, op10_arrow_store)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_langid, op3_decontaminate, op4_html, op5_minhash, op6_embed_join, op7_pack, op8_unit_dedup, op9_suffix_dedup, op10_arrow_store)
+}
 ORACLE: dict[str, str] = {}
