@@ -13,7 +13,7 @@ def distinct_ignoring_case(values: Column) -> Column:
 
 def split_list(text: Column, separator: str = ",") -> Column:
     """Trimmed, non-empty parts, distinct regardless of case; a text without any is its own only part."""
-    parts = distinct_ignoring_case(F.filter(F.transform(F.split(text, separator), F.trim), lambda x: x != ""))
+    parts = distinct_ignoring_case(F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x)), lambda x: x != ""))
     return F.when(F.size(parts) > 0, parts).otherwise(F.filter(F.array(F.trim(text)), lambda x: x != ""))
 
 
@@ -37,7 +37,7 @@ def split_products(tokens: Column) -> Column:
     """Token list to product names: a comma ends one, and so does an `and` behind a comma."""
     mark = "\u0001"
     text = F.regexp_replace(F.array_join(tokens, " "), r"\s*,\s*(?:and\s+)?", mark)
-    return F.filter(F.transform(F.split(text, mark), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, mark), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def bigrams(tokens: Column) -> Column:

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .rules import Rule, rewrite
 
@@ -51,14 +52,14 @@ def vowel_stem(word: Column) -> Column:
     return F.when(~word.rlike("[aeiou]"), word).when(stem == "", F.substring(word, 1, 1)).otherwise(stem)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_accents(s: pd.Series) -> pd.Series:
     """Lower case without combining marks, trimmed."""
     mark = re.compile("[\u0300-\u036f]")
     return s.map(lambda t: None if t is None else mark.sub("", unicodedata.normalize("NFKD", t)).lower().strip())
 
 
-@F.pandas_udf("array<struct<name:string,directions:array<string>>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("directions", T.ArrayType(T.StringType()))])))
 def parse_genes(s: pd.Series) -> pd.Series:
     """A Python-dict literal {gene: direction or directions} as an ordered list; anything else raises."""
     import ast
@@ -149,7 +150,7 @@ class Porter:
         return w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_words(s: pd.Series) -> pd.Series:
     """Every run of ASCII letters by its Porter stem, joined by blanks."""
     return s.map(lambda t: None if t is None else " ".join(Porter.stem(w) for w in re.findall("[A-Za-z]+", t)))

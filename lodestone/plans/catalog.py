@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import partial
 
-from . import dialect, inventory
+from . import dialect, extra, inventory
 
 
 def _sql(spark, sf_dir, sql):
     return dialect.run_sql(spark, sf_dir, sql)
 
 
-QUERIES = {k: partial(_sql, sql=v) for k, v in inventory.SQL.items()}
-ORACLE = {k: dialect.duck_text(v) for k, v in inventory.SQL.items()}
+QUERIES = {k: partial(_sql, sql=v) for k, v in inventory.SQL.items()} | extra.QUERIES
+ORACLE = {k: dialect.duck_text(v) for k, v in inventory.SQL.items()} | extra.ORACLE
