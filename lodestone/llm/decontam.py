@@ -24,6 +24,7 @@ from . import common as C
 from . import suffix
 
 SHARD_WORDS = 1_000_000
+NO_ID = -(1 << 63)  # stands for an item without an id: its windows count, but it's not in the lists of items
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -61,7 +62,7 @@ def item_blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[Ite
         if held and size + len(row[1] or "") > block_bytes:
             yield Items(held, window)
             held, size = [], 0
-        held.append((row[0], row[1]))
+        held.append((NO_ID if row[0] is None else row[0], row[1]))
         size += len(row[1] or "")
     if held:
         yield Items(held, window)
@@ -197,18 +198,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     """Per document: n_words, n_hit, n_items, items, spans of words hit, longest match and its place.
 
     A window is window consecutive words of an item, or a whole item of fewer words. Null texts have no words;
-    empty items match nothing; an item id that repeats counts once; each row of docs gives one row.
+    empty items match nothing; an item id that repeats counts once; the windows of an item without an id count as
+    any others, but it isn't among the items; each row of docs gives one row.
     """
     found = annotate(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), items, window)
     pairs = F.expr("transform(sequence(0, size(__spans) div 2 - 1), k -> struct(__spans[2 * k] as start, __spans[2 * k + 1] as end))")
     spans = F.when(F.size("__spans") > 0, pairs).otherwise(F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"))
-    return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__items").alias("items"), spans.alias("spans"), F.col("__longest")[0].alias("longest"), F.col("__longest")[1].alias("longest_item"), F.col("__longest")[2].alias("longest_at")).select(
+    return found.select("doc_id", F.col("__n_words").alias("n_words"), F.filter("__items", lambda i: i != F.lit(NO_ID)).alias("items"), spans.alias("spans"), F.col("__longest")[0].alias("longest"), F.col("__longest")[1].alias("longest_item"), F.col("__longest")[2].alias("longest_at")).select(
         "doc_id",
         "n_words",
         F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.expr("transform(items, i -> cast(i as string))")), ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("items") > 0).alias("contaminated"),
+        (F.size("spans") > 0).alias("contaminated"),
         "items",
         "spans",
         "longest",
@@ -219,4 +221,4 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The rows of docs in which no window of any item occurs, with docs's columns."""
-    return annotate(docs, items, window).where("size(__items) = 0").select(*docs.columns)
+    return annotate(docs, items, window).where("size(__spans) = 0").select(*docs.columns)

@@ -39,7 +39,7 @@ def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(pivots: np.ndarray, radius: float, reach: dict | None):
-    """Home rows (reach None: label, cell, distance) or all placements (label, cell, home, vec_id, vector)."""
+    """Home rows (reach None: cell, distance) or all placements (label, cell, home, vec_id, vector)."""
     import pyarrow as pa
 
     def run(batches):
@@ -55,9 +55,9 @@ def _cells(pivots: np.ndarray, radius: float, reach: dict | None):
                 home = angle.argmin(1)
                 near = angle[np.arange(len(x)), home]
                 if reach is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array(home, pa.int32()), pa.array(near)], names=["label", "cell", "far"])
+                    yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(near)], names=["cell", "far"])
                     continue
-                far = np.array([[reach.get((int(a), c), -1.0) for c in range(len(p))] for a in np.unique(labels)])[np.searchsorted(np.unique(labels), labels)]
+                far = np.array([reach.get(c, -10.0) for c in range(len(p))])
                 to = (angle <= near[:, None] + 2 * radius + 1e-6) & (angle <= far + radius + 1e-6)
                 to[np.arange(len(x)), home] = True
                 row, cell = np.nonzero(to)
@@ -115,13 +115,13 @@ def near_vectors(table: DataFrame, cosine: float = 0.93, pivots: int | None = No
     """One row per vector: vec_id, n_links, component_id (smallest id reachable), kept.
 
     Vectors link if their labels are equal and not null and their cosine is at least the bound. Vectors that
-    are null, zero or hold null or non-finite components, and those without a label, link with nothing; a
+    are null, zero or hold null or non-finite components, and those without a label or id, link with nothing; a
     vector of fewer dimensions counts as padded by zeros. Rows that repeat an id link like any others, and
     the id's row carries the links of all its rows.
     """
     spark = table.sparkSession
     src = table.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
-    live = src.where("label is not null and embedding is not null and size(embedding) > 0").where(
+    live = src.where("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0").where(
         "forall(embedding, v -> v is not null and not isnan(v) and abs(v) < double('infinity')) and exists(embedding, v -> v <> 0)"
     )
     n, labels = live.agg(F.count("*"), F.countDistinct("label")).first()
@@ -134,8 +134,8 @@ def near_vectors(table: DataFrame, cosine: float = 0.93, pivots: int | None = No
     while len(sample) and len(chosen) < min(pivots, len(sample)):
         chosen.append(int((sample @ sample[chosen].T).max(1).argmin()))
     p = sample[chosen] if len(sample) else np.zeros((1, 1))
-    homes = live.mapInArrow(_cells(p, radius, None), "label long, cell int, far double").groupBy("label", "cell").agg(F.max("far").alias("far")).collect()
-    reach = {(r[0], r[1]): r[2] for r in homes}  # one number per label and pivot
+    homes = live.mapInArrow(_cells(p, radius, None), "cell int, far double").groupBy("cell").agg(F.max("far").alias("far")).collect()
+    reach = {r[0]: r[1] for r in homes}  # one number per pivot, however many labels there are
     placed = C.materialise(live.mapInArrow(_cells(p, radius, reach), "label long, cell int, home boolean, vec_id long, x array<double>"), "placed")
     size = placed.groupBy("label", "cell").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")

@@ -180,14 +180,15 @@ def near_duplicates(
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable), kept.
 
     threshold (num, den): documents are linked when den * intersection >= num * union. Null and wordless
-    texts have empty sets and link with nothing. Repeated rows of one id count as one document's copies.
+    texts have empty sets and link with nothing. Rows without an id link with nothing, have no component and
+    are kept. Repeated rows of one id count as one document's copies.
     Other columns of docs play no part. An empty table gives an empty result.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sk = C.materialise(
         src.mapInArrow(_sketch_batches(k, t, r, wide), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, brief binary"), "sketch"
     )
-    classes = sk.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = sk.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     reps = sk.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     buckets = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")).distinct()
     lead = buckets.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -229,12 +230,12 @@ def near_duplicates(
     return (
         sk.select("doc_id", "n_shingles", "set_a", "set_b")
         .join(groups.select("set_a", "set_b", "n_shingles", "component_id"), ["set_a", "set_b", "n_shingles"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     )
 
 
 def drop_near_duplicates(docs: DataFrame, **kw) -> DataFrame:
     """The rows of docs whose document stays: one of each group, and all that link with nothing."""
     kept = near_duplicates(docs, **kw).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")

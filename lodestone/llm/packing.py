@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
+NO_ID = -(1 << 63)  # stands for a null id inside a chunk
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -82,7 +83,7 @@ def _pack_chunk(window: int, with_ids: bool):
         owed -= owed.mean()  # what the sources absent from this chunk are owed waits for a later one
         share /= share.sum()
         queue = np.array([at[x] for x in rows.column("source").to_pylist()])
-        ids_of, doc, n = rows.column("ids").combine_chunks(), rows.column("doc_id").to_numpy(), rows.column("n_tokens").to_numpy()
+        ids_of, doc, n = rows.column("ids").combine_chunks(), rows.column("doc_id").fill_null(NO_ID).to_numpy(), rows.column("n_tokens").to_numpy()
         width = rows.column("width")[0].as_py()
         order = np.lexsort((doc, queue))
         have = np.bincount(queue, weights=n, minlength=len(names)).astype(np.int64)
@@ -112,7 +113,7 @@ def _pack_chunk(window: int, with_ids: bool):
             out["ids"] += [raw[4 * a : 4 * b].tobytes() if with_ids else None for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
         whole = lambda k: pa.array(np.concatenate(out[k]).astype(np.int64))
         return pa.table(
-            [whole("doc_id"), pa.array(out["source"], pa.string()), whole("start"), whole("length"), whole("crc"), whole("doc_tokens"), whole("sequence"), whole("offset"), pa.array(out["ids"], pa.binary())],
+            [pa.array(docs_out := np.concatenate(out["doc_id"]).astype(np.int64), mask=docs_out == NO_ID), pa.array(out["source"], pa.string()), whole("start"), whole("length"), whole("crc"), whole("doc_tokens"), whole("sequence"), whole("offset"), pa.array(out["ids"], pa.binary())],
             names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
         )
 
@@ -126,7 +127,7 @@ def pack(
 
     targets gives sources' shares (those it doesn't name share nothing until the others run dry); without it
     the corpus's own shares hold. Null text is empty, so the document is its end id alone; a null source is a
-    queue of its own; rows that repeat an id are packed one by one; an empty table gives no piece.
+    queue of its own; a null id stays null; rows that repeat an id are packed one by one; an empty table gives no piece.
     """
     if "source" not in docs.columns:
         docs = docs.withColumn("source", F.lit(None).cast("string"))
