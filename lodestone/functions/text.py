@@ -52,6 +52,18 @@ def vowel_stem(word: Column) -> Column:
     return F.when(~word.rlike("[aeiou]"), word).when(stem == "", F.substring(word, 1, 1)).otherwise(stem)
 
 
+#: Words that say nothing about a modification, and verbs that are stems already.
+FILLERS = "was were is are be been being the a an in or and for of when both with further its to would gene".split()
+WHOLE = "block coexpress express mutant knock repress disrupt not engineer lack insert".split()
+
+
+def modification_stem(phrase: Column) -> Column:
+    """`was overexpressed` as `overexpress`: fillers and anything but a-z and hyphens go, words are cut by vowel_stem."""
+    words = F.regexp_replace(F.lower(phrase), rf"(?U)\b(?:{'|'.join(FILLERS)})\b", "")
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(words, r"(?U)\s+", " "), "[^a-z -]+", "")), " +")
+    return F.array_join(F.transform(words, lambda w: F.when(w.isin(*WHOLE, *(x + "s" for x in WHOLE)), w).otherwise(vowel_stem(w))), " ")
+
+
 @F.pandas_udf(T.StringType())
 def fold_accents(s: pd.Series) -> pd.Series:
     """Lower case without combining marks, trimmed."""

@@ -117,6 +117,6 @@ def top_labels(found: DataFrame, column: str, k: int = 5) -> DataFrame:
     return top.withColumn("width", F.greatest(F.lit(3.0), F.lit(100.0) * F.col("n") / F.max("n").over(W.partitionBy(F.lit(1)))))
 
 
-def direction_counts(found: DataFrame, known: tuple[str, ...] = ("Overexpression", "Deletion", "Other")) -> DataFrame:
+def direction_counts(found: DataFrame, known: tuple[str, ...] = ("Positive", "Negative", "Other")) -> DataFrame:
     each = found.select(F.explode("genes").alias("g")).select(F.explode("g.directions").alias("d"))
     return each.agg(*[F.count_if(F.col("d") == d).alias(d.lower()) for d in known])

@@ -14,7 +14,7 @@ from ..operators import classify, explorer, genes, organisms, products, relation
 from ..sources import readers, writers
 
 QUERIES, ORACLE = {}, {}
-RECORD_SQL = "select doc_id as pmid, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') as title, 1990 + n_chars % 30 as year, list_value(lang) as organisms, list_value(source) as products, list_value(struct_pack(name := concat('g', cast(doc_id % 7 as varchar)), directions := list_value(case doc_id % 3 when 0 then 'Overexpression' when 1 then 'Deletion' else 'Other' end))) as genes from documents"
+RECORD_SQL = "select doc_id as pmid, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') as title, 1990 + n_chars % 30 as year, list_value(lang) as organisms, list_value(source) as products, list_value(struct_pack(name := concat('g', cast(doc_id % 7 as varchar)), directions := list_value(case doc_id % 3 when 0 then 'Positive' when 1 then 'Negative' else 'Other' end))) as genes from documents"
 
 
 def query(name: str, sql: str | None = None):
@@ -39,7 +39,7 @@ def folder(spark: SparkSession) -> str:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    way = F.when(F.col("doc_id") % 3 == 0, "Overexpression").when(F.col("doc_id") % 3 == 1, "Deletion").otherwise("Other")
+    way = F.when(F.col("doc_id") % 3 == 0, "Positive").when(F.col("doc_id") % 3 == 1, "Negative").otherwise("Other")
     return d.select(
         F.col("doc_id").alias("pmid"),
         F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"),
@@ -50,8 +50,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REQUEST = explorer.Request(query="the", organism="en", direction="Deletion", first=2015, last=1995)
-_FOUND = f"select * from ({RECORD_SQL}) r where contains(lower(concat_ws(' ', cast(pmid as varchar), title, organisms[1], products[1], genes[1].name)), 'the') and list_contains(organisms, 'en') and list_contains(genes[1].directions, 'Deletion') and year between 1995 and 2015"
+REQUEST = explorer.Request(query="the", organism="en", direction="Negative", first=2015, last=1995)
+_FOUND = f"select * from ({RECORD_SQL}) r where contains(lower(concat_ws(' ', cast(pmid as varchar), title, organisms[1], products[1], genes[1].name)), 'the') and list_contains(organisms, 'en') and list_contains(genes[1].directions, 'Negative') and year between 1995 and 2015"
 _SCORE = "(case when lower(title) = 'the' then 20 when starts_with(lower(title), 'the') then 10 when contains(lower(title), 'the') then 6 else 0 end)"
 
 
@@ -439,6 +439,69 @@ def q5(spark, sf_dir):
     return relations.clean(rows, spark.createDataFrame([("PROMO",)], "name string"))
 
 
+_PHRASES = ["was overexpressed", "deletion", "introduction", "increasing the expression", "not expressed", "removal of the gene", "was disrupted", "blocks", "regulating expression", "not deleted", "mutation", "downregulated", "no induction", "lacks expression", "engineered", "attenuated", "inhibiting expression", "12", ""]
+
+
+def _phrase(key: str, n: int = 0):
+    return F.get(F.array(*[F.lit(x) for x in _PHRASES]), ((F.col(key) + n) % len(_PHRASES)).cast("int"))
+
+
+def _duck_list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _duck_phrase(key: str, n: int = 0) -> str:
+    return f"{_duck_list(_PHRASES)}[(({key} + {n}) % {len(_PHRASES)}) + 1]"
+
+
+def _duck_stem(x: str) -> str:
+    cut = "regexp_extract(w, '^(.*?)[io]?[aeiou][^aeiou]*$', 1)"
+    bare = f"regexp_replace(lower({x}), '\\b({'|'.join(text.FILLERS)})\\b', '', 'g')"
+    words = f"string_split(trim(regexp_replace(regexp_replace(regexp_replace({bare}, '\\s+', ' ', 'g'), '[^a-z -]+', '', 'g'), ' +', ' ', 'g')), ' ')"
+    whole = _duck_list([*text.WHOLE, *(v + "s" for v in text.WHOLE)])
+    return f"array_to_string(list_transform({words}, lambda w: case when list_contains({whole}, w) or not regexp_matches(w, '[aeiou]') then w when {cut} = '' then substr(w, 1, 1) else {cut} end), ' ')"
+
+
+def _duck_direction(x: str) -> str:
+    up, down = ("|".join(v) for v in (relations.UP, relations.DOWN))
+    turned = " ".join(f"when contains({x}, '{n}') and regexp_matches(replace({x}, '{n}', ''), '{up}') then 'Negative' when contains({x}, '{n}') and regexp_matches(replace({x}, '{n}', ''), '{down}') then 'Positive'" for n in relations.NEGATORS)
+    return f"case {turned} when list_contains({_duck_list(relations.UNCLEAR)}, string_split({x}, ' ')[1]) or contains({x}, 'not ') then 'Other' when regexp_matches({x}, '{down}') then 'Negative' when regexp_matches({x}, '{up}') then 'Positive' else 'Other' end"
+
+
+@query("STR43", f"select p_partkey, {_duck_stem(_duck_phrase('p_partkey'))} as stem, {_duck_stem('p_name')} as name_stem from part")
+def str43(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.modification_stem(_phrase("p_partkey")).alias("stem"), text.modification_stem(F.col("p_name")).alias("name_stem"))
+
+
+@query("MTH5", f"select p_partkey, stem, {_duck_direction('stem')} as direction from (select p_partkey, {_duck_stem(_duck_phrase('p_partkey'))} as stem from part) x")
+def mth5(spark, sf_dir):
+    stems = table(spark, sf_dir, "part").select("p_partkey", text.modification_stem(_phrase("p_partkey")).alias("stem"))
+    return stems.withColumn("direction", relations.direction(F.col("stem")))
+
+
+@query("RST28", f"select l_orderkey, l_linenumber, case when list_contains({_duck_list(relations.CURATED)}, stem) then {_duck_direction('stem')} else 'Other' end as class from (select l_orderkey, l_linenumber, {_duck_stem(_duck_phrase('l_partkey'))} as stem from lineitem) x")
+def rst28(spark, sf_dir):
+    stems = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.modification_stem(_phrase("l_partkey")).alias("stem"))
+    return stems.select("l_orderkey", "l_linenumber", F.when(F.col("stem").isin(*relations.CURATED), relations.direction(F.col("stem"))).otherwise("Other").alias("class"))
+
+
+_EC = "concat('1.', cast({k} % 3 as {t}), '.', cast({k} % 4 as {t}), case when {k} % 5 = 0 then '.-' when {k} % 7 = 0 then '' else '.2' end)"
+
+
+@query(
+    "Q6",
+    f"""select paper, gene, ecs, mods, list_transform(mods, lambda m: {_duck_direction('m')}) as classes from (
+    select l_orderkey as paper, l_linenumber as gene, list_filter([{_EC.format(k='l_partkey', t='varchar')}, {_EC.format(k='l_suppkey', t='varchar')}], lambda e: regexp_matches(e, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$')) as ecs,
+    list_filter([{_duck_stem(_duck_phrase('l_partkey'))}, {_duck_stem(_duck_phrase('l_partkey', 5))}], lambda m: list_contains({_duck_list(relations.CURATED)}, m)) as mods from lineitem) x where len(ecs) > 0 and len(mods) > 0""",
+)
+def q6(spark, sf_dir):
+    ec = lambda k: F.expr(_EC.format(k=k, t="string"))
+    genes = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("gene"), F.array(ec("l_partkey"), ec("l_suppkey")).alias("ecs"), F.array(_phrase("l_partkey"), _phrase("l_partkey", 5)).alias("actions")
+    )
+    return relations.relevant(genes).select("paper", "gene", "ecs", F.col("mods.mod").alias("mods"), F.col("mods.class").alias("classes"))
+
+
 @query("Q4")
 def q4(spark, sf_dir):
     syn = table(spark, sf_dir, "part").select(F.lower("p_name").alias("synonym"), F.col("p_brand").alias("canonical"), F.col("p_partkey").alias("ord"))

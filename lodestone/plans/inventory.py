@@ -113,7 +113,6 @@ SQL = {
     "STR40": "select doc_id, length(rx(lower(text), '\\b(the|and|with)e?s?d?i?n?g?\\b', '')) as n from documents",
     "STR41": "select substr(full_name, 1, 1) as initial, max(full_name) as expanded from (select distinct p_name as full_name from part) x group by substr(full_name, 1, 1)",
     "STR42": "select w, case when has(w, 'ies$') then rx(w, 'ies$', 'y') when has(w, '(ss|us|is)$') or length(w) < 4 then w when has(w, 's$') then rx(w, 's$', '') else w end as one from (select distinct unnest(ssplit(lower(text), ' ')) as w from conversations) x where has(w, '^[a-z]+$')",
-    "STR43": "select w, case when not has(w, '[aeiou]') then w when rextract(w, '^(.*?)[io]?[aeiou][^aeiou]*$', 1) = '' then substr(w, 1, 1) else rextract(w, '^(.*?)[io]?[aeiou][^aeiou]*$', 1) end as stem from (select distinct unnest(ssplit(lower(text), ' ')) as w from conversations) x where has(w, '^[a-z]+$')",
     "STR44": "select p_partkey, concat(upper(substr(p_type, 1, 1)), lower(substr(p_type, 2))) as title from part",
     "STR45": "select p_partkey, rextract(rel, '^([A-Za-z0-9_#-]+) *-> *(.+)$', 1) as gene, rextract(rel, '^([A-Za-z0-9_#-]+) *-> *(.+)$', 2) as action from (select p_partkey, concat(p_brand, ' ARROW ', p_type) as rel from part) x",
     "STR47": "select n_nationkey, concat(substr(n_name, 1, 1), '. ', lower(rx(n_name, '^NATION_', ''))) as short from nation",
@@ -142,7 +141,6 @@ SQL = {
     "MTH2": "select doc_id, try_cast(substr(source, 4) as int) as number from documents",
     "MTH3": "select l_orderkey, case when sum(l_quantity) = 0 then 0.0 else half_even(count(*) / sum(l_quantity), 3) end as fraction from lineitem group by l_orderkey",
     "MTH4": "select l_orderkey, l_linenumber, case when l_discount = 0 then 0 when l_discount > 0.05 then 2 else 1 end as presence from lineitem",
-    "MTH5": "select event_id, case when event_type like '%err%' then 'down' when event_type in ('purchase', 'signup') then 'up' else 'Other' end as direction from events",
     "MTH6": "select user_id, case when count(distinct event_type) > 1 then 'mixed' else min(event_type) end as look from events group by user_id",
     "MTH7": "select l_suppkey, max(s_name) as name, count(*) as n from lineitem left join supplier on l_suppkey = s_suppkey group by l_suppkey",
     # models' metrics
@@ -152,7 +150,6 @@ SQL = {
     # composites
     "Q1": "select conv_id, coalesce(u, a, s) as found, case when u is not null then 'user' when a is not null then 'assistant' when s is not null then 'system' else 'none' end as source from (select conv_id, min(case when role = 'user' and lower(text) like '%the%' then turn end) as u, min(case when role = 'assistant' and lower(text) like '%the%' then turn end) as a, min(case when role = 'system' then turn end) as s from conversations group by conv_id) x",
     "Q3": "select c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'default') as organism from customer",
-    "Q6": "select l_orderkey, l_suppkey, case when l_returnflag = 'R' then 'down' when l_returnflag = 'A' then 'up' else 'Other' end as class, ordered(alist(distinct l_partkey)) as ecs from lineitem group by l_orderkey, l_suppkey, case when l_returnflag = 'R' then 'down' when l_returnflag = 'A' then 'up' else 'Other' end",
     "Q8": "select l_suppkey, concat(textof(l_suppkey), '_', textof(code)) as grp, papers from (select l_suppkey, l_returnflag, count(distinct l_orderkey) as papers, dense_rank() over (partition by l_suppkey order by min(l_orderkey * 10 + l_linenumber), l_returnflag) as code from lineitem group by l_suppkey, l_returnflag) x",
     "Q11": "select o_orderpriority, 'abundance' as kind, cast(count(*) as double) as v from orders group by o_orderpriority union all select o_orderpriority, o_orderstatus as kind, round(cast(count(*) as double) / max(t), 6) as v from (select o_orderpriority, o_orderstatus, count(*) over (partition by o_orderpriority) as t from orders) x group by o_orderpriority, o_orderstatus",
     "Q12": "select d.doc_id, coalesce(l.quality, -1) as quality from documents d left join labels l on d.doc_id = l.doc_id where not exists (select 1 from labels t where t.doc_id = d.doc_id and t.toxic = 1) union all select doc_id, 9 as quality from labels where toxic = 1 and quality = 1",
@@ -168,7 +165,6 @@ SQL = {
     "RST23": "select distinct n_nationkey, unnest(ssplit(concat(n_name, ';', textof(n_regionkey)), ';')) as ec from nation",
     "RST26": "select k, case when asize(aminus(a, array(1, 2))) = 0 then 1 else 0 end as within, case when asize(aminus(array(1, 2), a)) = 0 then 1 else 0 end as holds from " + LISTS + " x",
     "RST27": "select l_orderkey, max(case when l_tax = 0 then 0 else 1 end) as presence from lineitem group by l_orderkey",
-    "RST28": "select event_id, coalesce(case event_type when 'error' then 'down' when 'purchase' then 'up' end, 'Other') as class from events",
     "RST30": "select conv_id, ajoin(alistby(coalesce(text, ''), turn), ' ') as text from conversations group by conv_id",
     "RST32": "select distinct unnest(ssplit(concat_ws(' ', p_name, p_brand), ' ')) as name from part",
     "RST33": "select name, ordered(alist(distinct syn)) as synonyms from (select ssplit(p_name, ' ')[SUB0] as name, ssplit(p_name, ' ')[SUB1] as syn from part) x group by name",

@@ -80,9 +80,24 @@ def test_genes(spark):
     assert {r.name: (r.names, r.entries) for r in genes.two_hop_dictionary(pairs).collect()} == {"a": (["a", "b"], [1, 2]), "b": (["a", "b", "c"], [1, 2]), "c": (["b", "c"], [1, 2]), "d": (["d"], [3])}
 
 
+STEMS = {"was overexpressed": "overexpress", "deletion": "delet", "introduction": "introduct", "increasing the expression": "increas express", "not expressed": "not express", "removal of the gene": "remov", "was disrupted": "disrupt", "": "", "in the": "", "ease": "eas", "Blocks!": "blocks"}
+DIRECTIONS = {
+    "Positive": ["overexpress", "upregulat", "inducibl", "introduct", "not delet", "g -> Insert"],
+    "Negative": ["delet", "lack", "lacks", "blocks", "not express", "repress express", "downregulat express", "inhibit express", "x -> no induc"],
+    "Other": ["mutat", "regulat express", "modulat express", "overexpr", "not overexpr", "coregulat", "not regulat", ""],
+}
+
+
+def test_modification_stems(spark):
+    df = spark.createDataFrame([*STEMS.items(), (None, None)], "a string, b string")
+    assert [r[0] for r in df.select(text.modification_stem(F.col("a"))).collect()] == [*STEMS.values(), None]
+
+
 def test_relations(spark):
-    df = spark.createDataFrame([("not overexpressed",), ("overexpression",), ("knock-out",), ("mutation",)], "a string")
-    assert [r[0] for r in df.select(relations.direction(F.col("a"))).collect()] == ["Deletion", "Overexpression", "Deletion", "Other"]
+    df = spark.createDataFrame([(x, k) for k, v in DIRECTIONS.items() for x in v] + [(None, None)], "a string, b string")
+    assert [(r.a, r.c) for r in df.select("a", relations.direction(F.col("a")).alias("c")).collect()] == [(r.a, r.b) for r in df.collect()]
+    g = spark.createDataFrame([(1, "x", ["1.1.1.1", "2.-.-.-", "3.5"], ["was deleted", "seen"]), (1, "y", ["1.1"], ["deleted"]), (2, "z", None, None)], "paper int, gene string, ecs array<string>, actions array<string>")
+    assert [(r.paper, r.gene, r.ecs, [tuple(m) for m in r.mods]) for r in relations.relevant(g).collect()] == [(1, "x", ["1.1.1.1"], [("delet", "Negative")])]
     c = spark.createDataFrame([("g", 1, "r1", 2, 0, 5), ("g", 1, "r2", 2, 1, 3), ("g", 1, "r3", 1, 2, 9), ("h", 1, "r4", 0, 1, 2), ("h", 1, "r5", 0, 1, 2)], "gene string, paper int, reaction string, specific int, presence int, matches int")
     assert sorted((r.reaction, r.stage) for r in relations.choose_reaction(c).collect()) == [("r2", "A"), ("r4", "E"), ("r5", "E")]
 
