@@ -1,6 +1,6 @@
 """Substring dedup by line or paragraph hashing.
 
-Every unit of at least min_words words is normalised (compatibility forms, case, white space, punctuation at
+Every unit is normalised (compatibility forms, case, white space, punctuation at
 its ends) and hashed to 128 bits. The digests are grouped over the corpus; the occurrence that ranks first,
 by document id and then by place, stays, and every other one goes, with its offsets in the original text.
 """
@@ -34,10 +34,10 @@ def units(text: str, kind: str):
     yield at, len(text)
 
 
-def remove_repeats(docs: DataFrame, kind: str = "line", min_words: int = 8) -> DataFrame:
+def remove_repeats(docs: DataFrame, kind: str = "line", min_words: int = 1) -> DataFrame:
     """Per row of docs: doc_id, n_units, n_removed, n_chars, n_chars_removed, spans (original offsets), text (what stays).
 
-    Units of fewer words, and blank ones, always stay. A removed unit takes the break behind it along (at the
+    Units of fewer than min_words words, and those without a letter or digit, always stay. A removed unit takes the break behind it along (at the
     end of the text, the break before it). Null text is empty. Equal rows of one id are one occurrence: they
     keep and lose the same units; different texts under one id rank by their place.
     """
