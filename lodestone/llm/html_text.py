@@ -2,9 +2,9 @@
 
 Markup is stripped into lines, one for each block of text, in page order. A line's weight is its text length
 without what stands in links. Sums over sliding windows of `width` lines rise at a surge point and fall at a
-dive point; the lines between hold the main text. Before that, elements that can't hold main text (scripts,
+dive point; the lines between hold the main text, in every such stretch. Before that, elements that can't hold main text (scripts,
 styles, forms, navigation, headers, footers, sidebars, adverts, notices, comments, by tag, role or class)
-give no lines. Where the page marks its article, surge and dive are sought inside it.
+give no lines. Where the page marks its article, its lines are taken whole.
 
 Per page: white space inside a line becomes one blank, lines are joined by a newline. Null or empty html, or
 html without text, gives an empty text. Broken markup never fails: an unclosed skipped element ends with
@@ -140,39 +140,38 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def main_lines(lines: list[tuple[str, int, bool]], width: int = 3, surge: int = 80) -> list[str]:
-    """The lines between surge and dive of the sums over `width` lines.
-
-    If the page marks an article, only its lines weigh, each as much as a surge, so that every stretch of it
-    is found; otherwise the heaviest stretch is the main text, without light lines at its ends.
-    """
-    marked = any(x[2] for x in lines)
-    weight = np.array([(w + surge) * m if marked else w for _, w, m in lines], np.int64)
-    if not len(weight):
-        return []
+def _stretches(weight: np.ndarray, width: int, surge: int) -> list[tuple[int, int]]:
+    """(first line, one past the last) from each surge to its dive, without lines of no weight at the ends."""
     before = np.concatenate([[0], np.cumsum(weight)])
     sums = before[np.minimum(np.arange(len(weight)) + width, len(weight))] - before[:-1]
-    high, spans, i = surge if marked else max(surge, int(sums.max() * 0.1)), [], 0
+    spans, i = [], 0
     while i < len(sums):
-        if sums[i] < high:
+        if sums[i] < surge:
             i += 1
             continue
         j = i
         while j < len(sums) and sums[j] > 0:  # the dive: a whole window without text
             j += 1
-        spans.append((i, j))
+        full = np.flatnonzero(weight[i:j])
+        spans.append((i + int(full[0]), i + int(full[-1]) + 1))
         i = j
-    if marked:
-        return [x[0] for i, j in spans for x in lines[i:j] if x[2]]
+    return spans
+
+
+def main_lines(lines: list[tuple[str, int, bool]], width: int = 3, surge: int = 80) -> list[str]:
+    """The lines between surge and dive of the sums over `width` lines, of every stretch.
+
+    A page without a surge is short: all its lines with text outside links stay. If the page marks an article, its
+    lines are the main text.
+    """
+    weight = np.array([w for _, w, _ in lines], np.int64)
+    marked = np.array([m for _, _, m in lines], bool)
+    if marked.any():
+        return [x[0] for x in lines if x[2]]
+    spans = _stretches(weight, width, surge)
     if not spans:
-        return [lines[int(weight.argmax())][0]] if weight.max() > 0 else []
-    i, j = max(spans, key=lambda s: (before[s[1]] - before[s[0]], -s[0]))
-    while j > i and weight[j - 1] == 0:
-        j -= 1
-    # a surge begins up to a window before the long line that makes it: light lines there stay out
-    while i < j - 1 and (weight[i] == 0 or weight[i] < surge / 4 and weight[i] * width < sums[i] * 0.2):
-        i += 1
-    return [x[0] for x in lines[i:j]]
+        return [x[0] for x in lines if x[1] > 0]
+    return [x[0] for i, j in spans for x in lines[i:j]]
 
 
 def extract(page: str | None) -> str:
