@@ -4,7 +4,7 @@ Markup is stripped into lines, one for each block of text, in page order. A line
 without what stands in links. Sums over sliding windows of `width` lines rise at a surge point and fall at a
 dive point; the lines between hold the main text, in every such stretch. Before that, elements that can't hold main text (scripts,
 styles, forms, navigation, headers, footers, sidebars, adverts, notices, comments, by tag, role or class)
-give no lines. Where the page marks its article, its lines are taken whole.
+give no lines. Where the page marks its article, its lines are taken whole, unless text outside outweighs it.
 
 Per page: white space inside a line becomes one blank, lines are joined by a newline. Null or empty html, or
 html without text, gives an empty text. Broken markup never fails: an unclosed skipped element ends with
@@ -162,12 +162,15 @@ def main_lines(lines: list[tuple[str, int, bool]], width: int = 3, surge: int =
     """The lines between surge and dive of the sums over `width` lines, of every stretch.
 
     A page without a surge is short: all its lines with text outside links stay. If the page marks an article, its
-    lines are the main text.
+    lines are the main text, unless a stretch outside it weighs more than all of them (articles that are teasers):
+    then marks don't count.
     """
     weight = np.array([w for _, w, _ in lines], np.int64)
     marked = np.array([m for _, _, m in lines], bool)
     if marked.any():
-        return [x[0] for x in lines if x[2]]
+        outside = np.where(marked, 0, weight)
+        if max((outside[i:j].sum() for i, j in _stretches(outside, width, surge)), default=0) <= weight[marked].sum():
+            return [x[0] for x in lines if x[2]]
     spans = _stretches(weight, width, surge)
     if not spans:
         return [x[0] for x in lines if x[1] > 0]

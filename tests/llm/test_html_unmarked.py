@@ -20,3 +20,9 @@ LONG = "body " * 60
 )
 def test_unmarked_pages_keep_their_article(lines, want):
     assert html_text.extract(P(*lines)) == "\n".join(want or lines)
+
+
+def test_teasers_in_article_tags_dont_hide_the_body():
+    page = "<article><p>teaser one</p></article><article><p>teaser two</p></article><div>" + "".join(f"<p>{LONG}{i}</p>" for i in range(3)) + "</div>"
+    got = html_text.extract(page)
+    assert all(f"{LONG}{i}" in got for i in range(3))
