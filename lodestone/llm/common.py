@@ -10,10 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def prepare(spark: SparkSession) -> None:
+    """Bound what a Python worker is sent at once by bytes; a value set by the user stays."""
+    if spark.conf.get(_BATCH, None) in (None, "67108864", "64MB", "64m", "-1"):
+        spark.conf.set(_BATCH, "8m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +47,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     The shuffle files behind it go once it is written.
     """
     spark = df.sparkSession
+    prepare(spark)
     path = scratch_path(spark, name)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
@@ -153,22 +162,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+KEPT_POWERS = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int, base: int, key: str) -> np.ndarray:
+    """base to the powers 0 to n - 1; a table of up to KEPT_POWERS stays with the worker."""
     have = _POWERS.get(key)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1024)
+        size = max(n, 1 << (n - 1).bit_length()) if n <= KEPT_POWERS else n
         have = np.full(size, base, np.uint64)
-        have[0] = 1
+        have[:1] = 1
         have = np.multiply.accumulate(have)
-        if size <= 8 * SLICE_BYTES:
+        if size <= KEPT_POWERS:
             _POWERS[key] = have
     return have[:n]
 
 
+def release() -> None:
+    """Give back what Arrow's allocator holds on to, as idle workers keep it otherwise."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def prefix_hash(values: np.ndarray) -> np.ndarray:
     """P with P[j]-P[i] = sum of values[k]*B^k over i <= k < j, modulo 2^64."""
     out = np.zeros(len(values) + 1, np.uint64)

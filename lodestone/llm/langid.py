@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,12 +166,9 @@ def fit(docs: DataFrame, per_lang: int = 300) -> Model:
                 names=["doc_id", "lang", "feature", "n"],
             )
 
-    ids = None
-    for lang in langs:
-        own = train.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang)
-        ids = own if ids is None else ids.unionByName(own)
-    # at most per_lang ids a language
-    sample = train.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "lang", "text").mapInArrow(sampled, "doc_id long, lang string, feature array<int>, n array<int>").collect()
+    # the first per_lang rows of each language by a hash of their id; each task keeps as many of a language at most
+    rank = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    sample = train.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= per_lang).select("doc_id", "lang", "text").mapInArrow(sampled, "doc_id long, lang string, feature array<int>, n array<int>").collect()
     sample = sorted((r for r in sample if r[2]), key=lambda r: (r[0], r[1], r[2]))
     at = {x: i for i, x in enumerate(langs)}
     rows = [((np.array(r[2], np.int64), np.array(r[3], np.int64)), at[r[1]]) for r in sample]
@@ -202,10 +200,16 @@ def identify(docs: DataFrame, per_lang: int = 300) -> DataFrame:
     """doc_id, held_out, lang_pred (`und` for null texts and texts without a letter), score, per row of docs."""
     model = fit(docs, per_lang)
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return annotate(src, model).select("doc_id", held.alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, per_lang: int = 300) -> DataFrame:
-    """The rows of docs whose language is told with a score of least or more, with docs's columns."""
-    return annotate(docs, fit(docs, per_lang)).where((F.col("__lang_pred") != "und") & (F.col("__score") >= least)).select(*docs.columns)
+    """The rows of docs whose language is told with a score of least or more, with docs's columns.
+
+    Null texts and texts without a letter go. Where no row has a language to learn from, all texts with a letter stay.
+    """
+    model = fit(docs, per_lang)
+    if not model.langs:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    return annotate(docs, model).where((F.col("__lang_pred") != "und") & (F.col("__score") >= least)).select(*docs.columns)

@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import suffix
 
-SHARD_BYTES = 3_000_000
+SHARD_BYTES = 1_500_000
+STRETCH = 300_000
 PARTS = 8
 _PLAIN = C.byte_table(lambda b: False, lower=False)[0]
 _POS = np.uint64((1 << 28) - 1)
+NO_ID = (1 << 63) - 1  # stands for a null id in joins
 
 
 def _lowest(key: np.ndarray, width: int) -> np.ndarray:
@@ -42,10 +44,12 @@ def _lowest(key: np.ndarray, width: int) -> np.ndarray:
 
 def segments(raw: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, gram: int):
     """(row, gram hash, two digests, first start, starts, probes) of every segment of a slice's rows."""
-    lo = int(start[0])
-    data = raw[lo : int(end[-1])]
-    s, e = start - lo, end - lo
-    n = len(data)
+    # the rows' bytes side by side, as stretches of one text overlap
+    size = end - start
+    e = np.cumsum(size)
+    s = e - size
+    n = int(e[-1])
+    data = raw[np.arange(n) + np.repeat(start - s, size)] if (start[1:] != end[:-1]).any() else raw[int(start[0]) : int(end[-1])]
     empty = np.zeros(0, np.int64)
     if n < length:
         return empty, empty, empty, empty, empty, empty, np.zeros((0, PARTS), np.int64)
@@ -54,12 +58,7 @@ def segments(raw: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, g
     grams = C.mix64((prefix[gram:] - prefix[:-gram]) * inverse[: n - gram + 1])
     # a gram's place breaks ties in favour of the first, which depends on the string's bytes alone too
     place = np.arange(len(grams), dtype=np.uint64)
-    wide = n >= 1 << 28
-    low = _lowest((grams & ~_POS) | (place & _POS), length - gram + 1) if not wide else None
-    if wide:
-        picks = np.concatenate([(_lowest((grams[a : a + (1 << 27) + length] & ~_POS) | place[: min(len(grams) - a, (1 << 27) + length)], length - gram + 1)[: 1 << 27] & _POS).astype(np.int64) + a for a in range(0, len(grams) - (length - gram), 1 << 27)])
-    else:
-        picks = (low & _POS).astype(np.int64)
+    picks = (_lowest((grams & ~_POS) | (place & _POS), length - gram + 1) & _POS).astype(np.int64)
     rows, first, stop = [], [], []
     count = np.maximum(e - s - length + 1, 0)
     has = np.flatnonzero(count)
@@ -102,10 +101,18 @@ def _segment_batches(length: int, gram: int):
     def run(batches):
         for batch in batches:
             raw, start, end = C.string_spans(batch.column(2))
-            for i, j in C.byte_slices(start, end, 300_000):
-                rows, g, d1, d2, first, n, probes = segments(raw, start[i:j], end[i:j], length, gram)
-                part = batch.slice(i, j - i)
-                take = pa.array(rows)
+            # a long text goes in stretches that overlap by length - 1 bytes, so that each string starts in one of them
+            count = np.maximum(-(-(end - start - length + 1) // STRETCH), 1)
+            row = np.repeat(np.arange(len(start)), count)
+            skip = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * STRETCH
+            lo = start[row] + skip
+            hi = np.minimum(lo + STRETCH + length - 1, end[row])
+            for i, j in C.byte_slices(lo, hi, STRETCH):
+                rows, g, d1, d2, first, n, probes = segments(raw, lo[i:j], hi[i:j], length, gram)
+                rows = rows + i
+                first = first + skip[rows]
+                part = batch
+                take = pa.array(row[rows])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(take), part.column(1).take(take), pa.array(g), pa.array(d1), pa.array(d2), pa.array(first.astype(np.int64)), pa.array(n.astype(np.int64))]
                     + [pa.array(np.ascontiguousarray(probes[:, k])) for k in range(PARTS)],
@@ -130,12 +137,11 @@ def _cut_batches(length: int):
             row = np.repeat(np.arange(len(sizes)), sizes)
             lo = start[row] + flat.field("first").to_numpy()
             hi = lo + flat.field("n").to_numpy() + length - 1
-            data = raw.tobytes()
             step = 2000
             for k in range(0, len(lo), step):
                 piece = flat.slice(k, step)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.field(c) for c in names] + [pa.array([data[a:b] for a, b in zip(lo[k : k + step].tolist(), hi[k : k + step].tolist(), strict=True)], pa.binary())], names=[*names, "bytes"]
+                    [piece.field(c) for c in names] + [pa.array([raw[a:b].tobytes() for a, b in zip(lo[k : k + step].tolist(), hi[k : k + step].tolist(), strict=True)], pa.binary())], names=[*names, "bytes"]
                 )
 
     return run
@@ -190,30 +196,31 @@ def _shard(length: int):
     return run
 
 
-def _remove_batches(length: int):
+def _remove_batches(length: int, with_bytes: bool):
     import pyarrow as pa
 
-    schema = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
+    schema = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"] + ["kept"] * with_bytes
 
     def run(batches):
         for batch in batches:
             raw, start, end = C.string_spans(batch.column(1))
-            data, out = raw.tobytes(), []
-            for s, e, found in zip(start.tolist(), end.tolist(), batch.column(2).to_pylist(), strict=True):
-                text, spans = data[s:e], []
-                pairs = sorted((f["first"] + a, f["first"] + b - 1 + length) for f in found or [] for a, b in zip(f["runs"][::2], f["runs"][1::2], strict=True))
-                for a, b in pairs:
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], b)
-                    else:
-                        spans.append([a, b])
-                edge = [0, *(x for p in spans for x in p), len(text)]
-                kept = b"".join(text[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True))
-                out.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans, kept))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(pa.list_(pa.int64()))), pa.array(cols[5], pa.binary())], names=schema
-            )
+            for i, j in C.byte_slices(start, end):
+                part, out = batch.slice(i, j - i), []
+                for s, e, found in zip(start[i:j].tolist(), end[i:j].tolist(), part.column(2).to_pylist(), strict=True):
+                    text, spans = raw[s:e].tobytes(), []
+                    pairs = sorted((f["first"] + a, f["first"] + b - 1 + length) for f in found or [] for a, b in zip(f["runs"][::2], f["runs"][1::2], strict=True))
+                    for a, b in pairs:
+                        if spans and a <= spans[-1][1]:
+                            spans[-1][1] = max(spans[-1][1], b)
+                        else:
+                            spans.append([a, b])
+                    edge = [0, *(x for p in spans for x in p), len(text)]
+                    kept = b"".join(text[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True))
+                    out.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans, kept if with_bytes else None))
+                cols = list(zip(*out, strict=True))
+                got = [part.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays(got + [pa.array(cols[5], pa.binary())] * with_bytes, names=schema)
+        C.release()
 
     return run
 
@@ -222,22 +229,26 @@ def repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 24, shard_byt
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and kept, the bytes left).
 
     Texts are UTF-8 bytes; null is empty; strings don't cross documents. Strings are judged on the input, so
-    all copies of a repeated string go. Rows that repeat an id are held against each other like any others.
+    all copies of a repeated string go. Rows that repeat an id are held against each other like any others, and
+    so are rows without an id, which stays null. An empty table gives an empty result; other columns play no part.
     """
-    src = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("sig", F.xxhash64("text"))
+    given = F.col("doc_id").cast("long")
+    src = docs.select(given.alias("given"), F.coalesce(given, F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("sig", F.xxhash64("text"))
     long_ = src.where(F.octet_length("text") >= length)
     seg = C.materialise(long_.select("doc_id", "sig", "text").mapInArrow(_segment_batches(length, gram), "doc_id long, sig long, gram long, d1 long, d2 long, first long, n long" + "".join(f", p{k} long" for k in range(PARTS))), "segments")
     often = seg.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    seg = C.materialise(seg.join(often, "gram"), "shared-segments")
+    every, seg = seg, C.materialise(seg.join(often, "gram"), "shared-segments")
+    C.drop_scratch(every)
     place = F.struct("doc_id", "sig", "first", "n")
     probes = [f"p{k}" for k in range(PARTS)]
     kinds = seg.groupBy("gram", "d1", "d2").agg(F.count("*").alias("c"), F.min(place).alias("a"), F.max(place).alias("b"), *[F.first(p).alias(p) for p in probes])
-    kinds = C.materialise(kinds, "kinds")
+    every_kind = kinds = C.materialise(kinds, "kinds")
     probed = kinds.select("gram", "d1", "d2", "c", F.explode(F.array(*probes)).alias("probe")).where("probe <> 0")
     again = probed.groupBy("probe").agg(F.sum("c").alias("all_c")).where("all_c > 1").select("probe")
     alive = probed.join(again, "probe").select("gram", "d1", "d2").distinct()
     kinds = kinds.drop(*probes).join(alive, ["gram", "d1", "d2"], "left_semi")
-    kinds = C.materialise(kinds, "alive")
+    every, kinds = every_kind, C.materialise(kinds, "alive")
+    C.drop_scratch(every)
     lone = kinds.groupBy("gram").agg(F.min("c").alias("least")).where("least = 1").select("gram")
     picked = C.materialise(kinds.join(lone, "gram", "left_semi").select("gram", "d1", "d2", "c", "a.*"), "picked")
     size = picked.agg(F.sum(F.col("n") + length)).first()[0] or 0
@@ -253,13 +264,14 @@ def repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 24, shard_byt
         # a split gram has shards of its own
         .withColumn("shard", F.when(F.col("splits") > 1, F.xxhash64("gram", "split")).otherwise(F.col("shard")))
     )
-    found = C.materialise(
+    found = repeats = C.materialise(
         dealt.select("shard", "gram", "d1", "d2", "own", "n", "bytes").groupBy("shard").applyInArrow(_shard(length), "gram long, d1 long, d2 long, runs array<long>"), "repeats"
     )
     several = kinds.where("c > 1").select("gram", "d1", "d2", F.array(F.lit(0).cast("long"), F.col("a.n")).alias("runs"))
     found = found.unionByName(several).groupBy("gram", "d1", "d2").agg(F.flatten(F.collect_set("runs")).alias("runs"))
     hits = seg.drop(*probes).join(found, ["gram", "d1", "d2"]).select("doc_id", "sig", F.struct("first", "runs").alias("f")).distinct().groupBy("doc_id", "sig").agg(F.collect_list("f").alias("found"))
     hits = C.materialise(hits, "hits")
-    out = src.join(hits, ["doc_id", "sig"], "left").select("doc_id", "text", "found")
-    out = out.mapInArrow(_remove_batches(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept binary")
-    return out if with_bytes else out.drop("kept")
+    C.drop_scratch(seg, kinds, picked, repeats)
+    out = src.join(hits, ["doc_id", "sig"], "left").select(F.col("given").alias("doc_id"), "text", "found")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
+    return out.mapInArrow(_remove_batches(length, with_bytes), schema + ", kept binary" * with_bytes)

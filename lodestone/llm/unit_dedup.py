@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
+NO_ID = (1 << 63) - 1  # stands for a null id, so that rows without one rank last
+
 _SPLIT = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
 _ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -35,15 +37,17 @@ def units(text: str, kind: str):
 
 
 def remove_repeats(docs: DataFrame, kind: str = "line", min_words: int = 1) -> DataFrame:
-    """Per row of docs: doc_id, n_units, n_removed, n_chars, n_chars_removed, spans (original offsets), text (what stays).
+    """Per row of docs: doc_id, n_units, n_removed, n_chars (that stay), n_chars_in, spans (original offsets), text (what stays).
 
     Units of fewer than min_words words, and those without a letter or digit, always stay. A removed unit takes the break behind it along (at the
     end of the text, the break before it). Null text is empty. Equal rows of one id are one occurrence: they
-    keep and lose the same units; different texts under one id rank by their place.
+    keep and lose the same units; different texts under one id rank by their place. Rows without an id rank last;
+    those of the same text count as one occurrence too. An empty table gives an empty result.
     """
     import pyarrow as pa
 
-    src = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("sig", F.xxhash64("text"))
+    given = F.col("doc_id").cast("long")
+    src = docs.select(given.alias("given"), F.coalesce(given, F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("sig", F.xxhash64("text"))
 
     def hashed(batches):
         for batch in batches:
@@ -87,13 +91,13 @@ def remove_repeats(docs: DataFrame, kind: str = "line", min_words: int = 1) -> D
                     body = "".join(text[a:e] for a, _, e in kept)
                     if kept and every[-1] in lost:
                         body = body[: len(body) - (kept[-1][2] - kept[-1][1])]
-                    out.append((len(every) if text else 0, len(cut), len(text), len(text) - len(body), cut, body))
+                    out.append((len(every) if text else 0, len(cut), len(body), len(text), cut, body))
                 cols = list(zip(*out, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.list_(pa.int64()))), pa.array(cols[5], pa.string())],
-                    names=["doc_id", "n_units", "n_removed", "n_chars", "n_chars_removed", "spans", "text"],
+                    names=["doc_id", "n_units", "n_removed", "n_chars", "n_chars_in", "spans", "text"],
                 )
 
-    return src.join(gone, ["doc_id", "sig"], "left").select("doc_id", "text", "gone").mapInArrow(
-        apply, "doc_id long, n_units long, n_removed long, n_chars long, n_chars_removed long, spans array<array<long>>, text string"
+    return src.join(gone, ["doc_id", "sig"], "left").select(F.col("given").alias("doc_id"), "text", "gone").mapInArrow(
+        apply, "doc_id long, n_units long, n_removed long, n_chars long, n_chars_in long, spans array<array<long>>, text string"
     )
