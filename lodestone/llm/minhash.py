@@ -8,10 +8,11 @@ hashing. Bands of r coordinates give the candidates; each is confirmed on the fu
 
 Documents with equal sets form one class whose smallest id stands for it. In each bucket all classes are
 first held against the smallest one; components then drop out all pairs that are already connected, and
-only pairs of different components are held against each other. So a large group of near copies costs
-links in proportion to its size, and no link between components is lost. In buckets of over SMALL classes
-these pairs aren't made into rows: blocks of BLOCK classes are compared inside tasks by all coordinates
-(eight bits of each), and only pairs whose estimate comes near the threshold go on to the exact check.
+only pairs of different components are held against each other. That is done inside tasks, in blocks of
+bounded size: coordinates (eight bits of each of `wide`) tell which classes may have a similar partner, as
+their estimate comes within SPREAD standard deviations of the threshold; only these travel with their whole
+sets, and each block returns a forest of exactly confirmed links. So a large group of near copies costs
+links in proportion to its size, and no pairs are made into rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SMALL, BLOCK = 16, 1024
+BLOCK, BLOCK_BYTES = 1024, 4_000_000
+SPREAD = 4.75  # standard deviations
 SPACE = C.byte_table(lambda b: b == 0x20 or 9 <= b <= 13)
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -149,31 +151,100 @@ def _verify_batches(k: int, num: int, den: int):
     return run
 
 
-def _block_batches(num: int, den: int, wide: int):
-    """Pairs of classes of one bucket, in different components, whose coordinates agree often enough."""
+class _Block:
+    """Classes of one bucket, in blocks lo and hi: which pairs of different components may be similar."""
+
+    def __init__(self, rows, num: int, den: int, wide: int):
+        self.rep, self.comp, self.block = (rows.column(c).to_numpy() for c in ("rep", "component", "block"))
+        self.lo, self.hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+        self.brief = np.frombuffer(b"".join(rows.column("brief").to_pylist()), np.uint8).reshape(-1, wide)
+        j = num / den
+        self.least = wide * (j - SPREAD * np.sqrt(j * (1 - j) / wide))
+
+    def close(self):
+        """(row, rows that may be similar to it, likeliest first)."""
+        own, other = np.flatnonzero(self.block == self.lo), np.flatnonzero(self.block == self.hi)
+        for i in own.tolist():
+            to = other[(self.comp[other] != self.comp[i]) & (self.rep[other] > self.rep[i] if self.lo == self.hi else True)]
+            agree = (self.brief[to] == self.brief[i]).sum(1)
+            near = np.flatnonzero(agree >= self.least)
+            if len(near):
+                yield i, to[near[np.argsort(-agree[near], kind="stable")]]
+
+
+def _near_rows(num: int, den: int, wide: int):
+    """(key, rep) of the classes with a partner that may be similar, in another component of the bucket."""
     import pyarrow as pa
 
-    j = num / den
-    least = wide * (j - 4.75 * np.sqrt(j * (1 - j) / wide))
+    def run(rows: pa.Table) -> pa.Table:
+        block = _Block(rows, num, den, wide)
+        mark = np.zeros(len(block.rep), bool)
+        for i, near in block.close():
+            mark[i] = mark[near] = True
+        return rows.select(["key", "rep"]).filter(pa.array(mark))
+
+    return run
+
+
+def _forest(num: int, den: int, wide: int):
+    """Links between components, confirmed on full sets: as many as join what can be joined, at most one less than components."""
+    import pyarrow as pa
 
     def run(rows: pa.Table) -> pa.Table:
-        rep, comp, block = (rows.column(c).to_numpy() for c in ("rep", "component", "block"))
-        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
-        brief = np.frombuffer(b"".join(rows.column("brief").to_pylist()), np.uint8).reshape(-1, wide)
-        own = np.flatnonzero(block == lo)
-        other = np.flatnonzero(block == hi)
-        a, b = [], []
-        for i in own.tolist():
-            to = other[(comp[other] != comp[i]) & (rep[other] > rep[i] if lo == hi else True)]
-            close = to[(brief[to] == brief[i]).sum(1) >= least]
-            a.append(np.full(len(close), rep[i]))
-            b.append(rep[close])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        block = _Block(rows, num, den, wide)
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("elements").to_pylist()]
+        root, links = {}, []
+
+        def find(x):
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        for i, near in block.close():
+            for k in near.tolist():
+                a, b = find(int(block.comp[i])), find(int(block.comp[k]))
+                if a == b:
+                    continue
+                shared = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if den * shared >= num * (len(sets[i]) + len(sets[k]) - shared):
+                    root[max(a, b)] = min(a, b)
+                    links.append(sorted((int(block.rep[i]), int(block.rep[k]))))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
+def _set_batches(k: int):
+    """doc_id and its whole set, as sorted hashes."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            raw, start, end = C.string_spans(batch.column(1))
+            for i, j in C.byte_slices(start, end):
+                row, value = shingle_sets(raw, start[i:j], end[i:j], k)
+                edge = np.searchsorted(row, np.arange(j - i + 1))
+                out = [value[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(out, pa.binary())], names=["rep", "elements"])
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, size, limit: int) -> DataFrame:
+    """Each bucket in blocks of about limit by size; a row goes to every pair of blocks that its own is in."""
+    total = rows.groupBy("key").agg(F.ceil(F.sum(size) / F.lit(limit)).cast("int").alias("blocks"))
+    return (
+        rows.join(total, "key")
+        .withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        .withColumn("lo", F.least("block", "other"))
+        .withColumn("hi", F.greatest("block", "other"))
+        .drop("blocks", "other")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), t: int = 128, r: int = 4, wide: int = 512, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -207,26 +278,20 @@ def near_duplicates(
     first = cand.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = confirmed(first, "links-1")
     comp = C.materialise(C.with_component(cand, "rep", C.connected_components(links)), "grouped")
-    mixed = comp.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    open_ = C.materialise(comp.join(mixed, "key").select("key", "rep", "component", "n"), "open")
-    few = open_.where(F.col("n") <= SMALL)
-    left, right = few.alias("l"), few.alias("r")
-    rest = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component"))).select(
-        F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")
-    )
-    many = open_.where(F.col("n") > SMALL).join(sk.select(F.col("doc_id").alias("rep"), "brief").dropDuplicates(["rep"]), "rep")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    many = (
-        many.withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("lo", F.least("block", "other"))
-        .withColumn("hi", F.greatest("block", "other"))
-    )
-    close = many.groupBy("key", "lo", "hi").applyInArrow(_block_batches(*threshold, wide), "a long, b long")
-    rest = C.materialise(rest.unionByName(close).distinct(), "rest").join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(rest, "links-2"))
+    # buckets of the same classes need one look; so do those of one component none
+    mixed = comp.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    mixed = mixed.where("lo < hi").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    brief = sk.select(F.col("doc_id").alias("rep"), "brief").where("rep is not null").groupBy("rep").agg(F.max("brief").alias("brief"))
+    open_ = C.materialise(comp.join(mixed, "key").select("key", "rep", "component").join(brief, "rep"), "open")
+    near = _in_blocks(open_, F.lit(1), BLOCK).groupBy("key", "lo", "hi").applyInArrow(_near_rows(*threshold, wide), "key long, rep long")
+    near = C.materialise(near.distinct(), "near")
+    sets = texts.join(near.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_batches(k), "rep long, elements binary")
+    full = C.materialise(near.join(open_, ["key", "rep"]).join(sets, "rep"), "near-sets")
+    links2 = _in_blocks(full, F.octet_length("elements"), BLOCK_BYTES).groupBy("key", "lo", "hi").applyInArrow(_forest(*threshold, wide), "a long, b long")
+    links = links.unionByName(C.materialise(links2, "links-2"))
     comps = C.connected_components(links)
-    groups = C.with_component(classes, "rep", comps, "component_id")
+    groups = C.materialise(C.with_component(classes, "rep", comps, "component_id"), "groups")
+    C.drop_scratch(cand, texts, comp, open_, near, full, links)
     return (
         sk.select("doc_id", "n_shingles", "set_a", "set_b")
         .join(groups.select("set_a", "set_b", "n_shingles", "component_id"), ["set_a", "set_b", "n_shingles"], "left")
