@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -54,6 +55,7 @@ class UnitEncoder:
         self.dtype = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.kind = self._kind(spec)
         self.model, self.chars = self.whole.model, _byte_chars()
+        self.code, self.tails = "H" if self.dtype.itemsize == 2 else "I", {}
         self.cache: dict[str, bytes] = {}
         self.newline = self._raw(["\n"])[0] if self.kind == "blank_first" else b""
 
@@ -94,24 +96,30 @@ class UnitEncoder:
     def _new(self, keys: list[str]) -> dict[str, bytes]:
         """Ids of units that aren't in the cache."""
         out, rest, blank = {}, [], self.kind == "blank_first"
+        tokenize, code, chars, tails = self.model.tokenize, self.code, self.chars, self.tails
+        first = chars[32] if blank else ""
         for key in keys:
+            # one run of letters is one piece for the model, and full stops or commas at its end another
+            if key.isascii() and key.isalpha():
+                out[key] = array(code, [t.id for t in tokenize(first + (key if blank else key.lower()))]).tobytes()
+                continue
             head, unit = (key[0], key[1:]) if blank and key[0] in "\n\t" else ("", key)
             word = unit.rstrip(".,")
-            ids = b""
-            if word and _LETTERS.fullmatch(word):
-                # one run of letters is one piece for the model, and full stops or commas at its end another
-                text = word if head or not blank else " " + word
-                text = text if blank else text.lower()
-                ids = np.array([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.chars))], self.dtype).tobytes()
-                if len(word) < len(unit):
-                    tail = unit[len(word) :]
-                    more = self.cache.get("\t" + tail)
-                    if more is None:
-                        more = self.cache["\t" + tail] = self._raw([tail])[0]
-                    ids += more
-                out[key] = (self.newline if head == "\n" else b"") + ids
-            else:
+            if not word or not _LETTERS.fullmatch(word):
                 rest.append((key, unit if head or not blank else " " + unit, head == "\n"))
+                continue
+            shown = word if blank else word.lower()
+            shown = shown if word.isascii() else shown.encode().decode("latin-1").translate(chars)
+            ids = array(code, [t.id for t in tokenize(shown if head else first + shown)]).tobytes()
+            if len(word) < len(unit):
+                tail = unit[len(word) :]
+                more = tails.get(tail)
+                if more is None:
+                    more = self._raw([tail])[0]
+                    if len(tails) < 1000:
+                        tails[tail] = more
+                ids += more
+            out[key] = self.newline + ids if head == "\n" else ids
         for (key, _, line), ids in zip(rest, self._raw([u for _, u, _ in rest]), strict=True):
             out[key] = (self.newline if line else b"") + ids
         return out
@@ -125,19 +133,26 @@ class UnitEncoder:
                 whole.append(k)
                 continue
             units, skip = self._units(text)
-            parts = list(map(get, units))
-            if None in parts:
-                missing.update([u for u, p in zip(units, parts, strict=True) if p is None])
-                waiting.append((k, units, skip))
+            parts, gaps, at = list(map(get, units)), [], -1
+            try:
+                while True:
+                    at = parts.index(None, at + 1)
+                    gaps.append(at)
+            except ValueError:
+                pass
+            if gaps:
+                missing.update([units[i] for i in gaps])
+                waiting.append((k, units, parts, gaps, skip))
             else:
                 out[k] = b"".join(parts)[skip * len(self.newline) :]
         for k, ids in zip(whole, self._raw([texts[k] for k in whole]), strict=True):
             out[k] = ids
         if missing:
             new = self._new(sorted(missing))
-            full = new.get
-            for k, units, skip in waiting:
-                out[k] = b"".join([p if (p := get(u)) is not None else full(u) for u in units])[skip * len(self.newline) :]
+            for k, units, parts, gaps, skip in waiting:
+                for i in gaps:
+                    parts[i] = new[units[i]]
+                out[k] = b"".join(parts)[skip * len(self.newline) :]
             room = CACHE_UNITS - len(self.cache)
             if room > 0:
                 self.cache.update([(u, ids) for u, ids in new.items() if len(u) <= 40][:room])
