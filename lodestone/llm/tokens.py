@@ -93,7 +93,7 @@ class UnitEncoder:
         # here a key is the unit itself behind a mark, as plain keys stand for " " + key
         return ["\t" + u for u in _BLANK_FIRST.findall(text)], 0
 
-    def _new(self, keys: list[str]) -> dict[str, bytes]:
+    def _new(self, keys: set[str]) -> dict[str, bytes]:
         """Ids of units that aren't in the cache."""
         out, rest, blank = {}, [], self.kind == "blank_first"
         tokenize, code, chars, tails = self.model.tokenize, self.code, self.chars, self.tails
@@ -148,7 +148,7 @@ class UnitEncoder:
         for k, ids in zip(whole, self._raw([texts[k] for k in whole]), strict=True):
             out[k] = ids
         if missing:
-            new = self._new(sorted(missing))
+            new = self._new(missing)
             for k, units, parts, gaps, skip in waiting:
                 for i in gaps:
                     parts[i] = new[units[i]]
