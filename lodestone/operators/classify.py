@@ -64,12 +64,41 @@ def metrics(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return c.select("*", rate(tp + tn, tp + fn + fp + tn).alias("accuracy"), rate(tp, tp + fp).alias("precision"), rate(tp, tp + fn).alias("recall"), rate(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k vectors with the highest cosine for each of a stated set of queries (a few: they are sent to all)."""
-    unit = "transform({0}, x -> cast(x as double) / sqrt(aggregate({0}, 0d, (s, y) -> s + cast(y as double) * cast(y as double))))"
-    v = vectors.select("vec_id", F.expr(unit.format("embedding")).alias("x"))
-    q = queries.limit(1000).select(F.col("vec_id").alias("query_id"), F.expr(unit.format("embedding")).alias("y"))
-    pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    pairs = pairs.select("query_id", "vec_id", F.expr("aggregate(zip_with(x, y, (a, b) -> a * b), 0d, (s, z) -> s + z)").alias("cosine"))
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
+    """The k vectors with the highest cosine (to nine places, then the smaller id) for each of a stated set of queries.
+
+    Queries go out in blocks of bounded size; of each batch of vectors only its own k best go on. Null and zero
+    vectors answer and ask nothing. (query_id, vec_id, cosine, place).
+    """
+    import itertools
+
+    import numpy as np
+    import pyarrow as pa
+
+    schema, out = "query_id long, vec_id long, cosine double", None
+    live = "vec_id is not null and embedding is not null and exists(embedding, x -> x <> 0) and forall(embedding, x -> x is not null)"
+    asked = queries.where(live).select(F.col("vec_id").cast("long"), "embedding").toLocalIterator()
+
+    def unit(rows):
+        x = np.array(rows, np.float64)
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+    def best(ids, q):
+        def run(batches):
+            for batch in batches:
+                own, x = batch.column(0).to_numpy(), unit(batch.column(1).to_pylist())
+                cosine = np.round(q @ x.T, 9)
+                cosine[ids[:, None] == own[None, :]] = -np.inf
+                top = [np.lexsort((own, -c))[:k] for c in cosine]
+                rows = [(i, int(own[j]), float(c[j])) for i, c, t in zip(ids.tolist(), cosine, top, strict=True) for j in t if np.isfinite(c[j])]
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "cosine"])
+
+        return run
+
+    src = vectors.where(live).select(F.col("vec_id").cast("long"), "embedding")
+    while part := list(itertools.islice(asked, block)):
+        found = src.mapInArrow(best(np.array([r[0] for r in part], np.int64), unit([r[1] for r in part])), schema)
+        out = found if out is None else out.unionByName(found)
+    out = out if out is not None else vectors.sparkSession.createDataFrame([], schema)
     w = W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

@@ -5,26 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import Rule, rewrite
-
-#: Fixed values, in the order in which they hold.
-CANONICAL = [
-    Rule(r"^\s+|\s+$", ""),
-    Rule(r"(?i)\b(?:[dl]|dl|[rs]|cis|trans|meso|n|iso)-(?=[a-z])", ""),
-    Rule(r"[\[\](){}]", " "),
-    Rule(r"\s*-\s*", "-"),
-    Rule(r"\s+", " "),
-    Rule(r"\s*,\s*", ","),
-]
-GREEK = [Rule(a, b, True) for a, b in (("α", "alpha"), ("β", "beta"), ("γ", "gamma"), ("δ", "delta"), ("ε", "epsilon"), ("κ", "kappa"), ("λ", "lambda"), ("ω", "omega"))]
-ACIDS = [Rule(r"ic acids?$", "ate"), Rule(r"\bacids$", "acid"), Rule(r"\bamino$", "amino acid")]
-
-
-def canonical(name: Column) -> Column:
-    """The rules twice, as some open the way for others; then lower case and Greek letters by name."""
-    return F.trim(rewrite(F.lower(rewrite(rewrite(name, CANONICAL), CANONICAL)), [*GREEK, *ACIDS]))
-
-
 def cleaned(values: Column, fakes: list[str]) -> Column:
     """Each value with the reason for which it goes, or null."""
     reason = lambda v: F.when(F.length(F.trim(v)) <= 1, "short").when(v.rlike(r"^[\d.,%\s]+$"), "number").when(F.lower(v).isin(fakes or [""]), "fake").when(v.rlike(r"(?i)\bunits?\b"), "unit")

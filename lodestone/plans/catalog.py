@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from . import dialect, extra, inventory
+from . import cleaning, dialect, extra, inventory
 
 
 def _sql(spark, sf_dir, sql):

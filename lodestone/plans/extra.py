@@ -8,13 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays, text
+from ..functions import arrays, cleaning, text
 from ..functions.rules import Rule, rewrite, without_words
 from ..operators import classify, explorer, genes, organisms, products, relations, similar
 from ..sources import readers, writers
 
 QUERIES, ORACLE = {}, {}
-RECORD_SQL = "select doc_id as pmid, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') as title, 1990 + n_chars % 30 as year, list_value(lang) as organisms, list_value(source) as products, list_value(struct_pack(name := concat('g', cast(doc_id % 7 as varchar)), directions := list_value(case doc_id % 3 when 0 then 'Positive' when 1 then 'Negative' else 'Other' end))) as genes from documents"
+RECORD_SQL = "select doc_id as pmid, string_split(text, chr(10))[1] as title, 1990 + n_chars % 30 as year, list_value(lang) as organisms, list_value(source) as products, list_value(struct_pack(name := concat('g', cast(doc_id % 7 as varchar)), directions := list_value(case doc_id % 3 when 0 then 'Positive' when 1 then 'Negative' else 'Other' end))) as genes from documents"
 
 
 def query(name: str, sql: str | None = None):
@@ -42,7 +42,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     way = F.when(F.col("doc_id") % 3 == 0, "Positive").when(F.col("doc_id") % 3 == 1, "Negative").otherwise("Other")
     return d.select(
         F.col("doc_id").alias("pmid"),
-        F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"),
+        F.split("text", "\n")[0].alias("title"),
         (1990 + F.col("n_chars") % 30).alias("year"),
         F.array("lang").alias("organisms"),
         F.array("source").alias("products"),
@@ -65,14 +65,6 @@ def fil13(spark, sf_dir):
     return explorer.matches(explorer.search_view(records(spark, sf_dir)), explorer.Request()).select("pmid")
 
 
-@query("TOP5", f"select pmid, row_number() over (order by year desc, lower(title), pmid) as place from ({_FOUND}) x")
-def top5(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    found = explorer.matches(explorer.search_view(records(spark, sf_dir)), REQUEST)
-    return found.select("pmid", F.row_number().over(W.orderBy(*explorer.order(explorer.Request(sort="year-desc")))).alias("place"))
-
-
 @query("TOP6", f"select pmid, {_SCORE} as score from ({_FOUND}) x")
 def top6(spark, sf_dir):
     return explorer.matches(explorer.search_view(records(spark, sf_dir)), REQUEST).select("pmid", "score")
@@ -265,38 +257,28 @@ def str9(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.fold_accents("text").alias("folded"))
 
 
-@query("STR19")
-def str19(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", products.canonical(F.concat(F.lit("L-"), "p_name", F.lit(" (acetic acid)"))).alias("name"))
-
-
 _NOISE = [Rule(r"(?i)\bdoi:?\s*10\.\S+", " "), Rule(r"https?://\S+", " "), Rule(r"\[\s*[\d,\s-]+\]", " "), Rule(r"(?<=\d)\.(?=\d)", "_"), Rule(r"\s+", " ")]
 
 
-@query("STR23")
-def str23(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(rewrite(F.col("text"), _NOISE[:3])).alias("n"))
-
-
 @query("STR25")
 def str25(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(F.lower(rewrite(F.col("text"), _NOISE))).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower(rewrite(F.col("text"), _NOISE)).alias("plain"))
 
 
 @query("STR26")
 def str26(spark, sf_dir):
     rules = [Rule(r"(?i)\b(\w+)\s+(?:is|are|was|were)\s+produced\b", "production of $1"), Rule(r"(?i)\b(?:producing|produces|produced)\s+(\w+)", "production of $1"), Rule(r"(?i)\b(?:bio)?synthesis of\b", "production of")]
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(rewrite(F.col("text"), rules)).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", rewrite(F.col("text"), rules).alias("plain"))
 
 
 @query("STR28")
 def str28(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(F.regexp_replace("text", r"(?i)\b(?:\w+(?:ive|ous|ful))\s+(?=production\b)", "")).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"(?i)\b(?:\w+(?:ive|ous|ful))\s+(?=production\b)", "").alias("plain"))
 
 
 @query("STR29")
 def str29(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", r"(?<![A-Z])(?<=[.!?])\s+(?=[A-Z])")).alias("sentences"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.split("text", r"(?<![A-Z])(?<=[.!?])\s+(?=[A-Z])").alias("sentences"))
 
 
 @query("STR30")
@@ -307,20 +289,20 @@ def str30(spark, sf_dir):
 
 @query("STR33")
 def str33(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(rewrite(F.col("text"), [Rule(r"\n(?![A-Z])", " "), Rule(r"\b[ACGT]{12,}\b", ""), Rule(r" {2,}", " ")])).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", rewrite(F.col("text"), [Rule(r"\n(?![A-Z])", " "), Rule(r"\b[ACGT]{12,}\b", ""), Rule(r" {2,}", " ")]).alias("plain"))
 
 
 @query("STR36")
 def str36(spark, sf_dir):
     s = F.split("text", r"(?<=[.!?])\s+")
     at = F.array_position(F.transform(s, lambda x: x.rlike("(?i)^in this (?:study|work|paper)")), True)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.when(at > 0, F.slice(s, at, F.size(s))).when(F.size(s) > 6, F.slice(s, -6, 6)).otherwise(s)).alias("kept"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(at > 0, F.slice(s, at, F.size(s))).when(F.size(s) > 6, F.slice(s, -6, 6)).otherwise(s).alias("kept"))
 
 
 @query("STR37")
 def str37(spark, sf_dir):
     heads = F.transform(F.split("text", "\n"), lambda x: F.lower(F.trim(x)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(heads, lambda h: ~h.rlike("^(?:author|acknowledg|funding|conflict|reference)"))).alias("sections"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.filter(heads, lambda h: ~h.rlike("^(?:author|acknowledg|funding|conflict|reference)")).alias("sections"))
 
 
 @query("STR46")
@@ -381,7 +363,7 @@ def rst34(spark, sf_dir):
 
 @query("STR40B")
 def str40(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(without_words(F.col("text"), ["the", "strain", "study"], "esding")).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", without_words(F.col("text"), ["the", "strain", "study"], "esding").alias("plain"))
 
 
 # ---- joins, dictionaries, extraction ------------------------------------------------------------------
@@ -389,7 +371,7 @@ def str40(spark, sf_dir):
 
 @query("JN18")
 def jn18(spark, sf_dir):
-    return similar.close_names(table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")).where("c_custkey < 300"))
+    return similar.close_names(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")))
 
 
 def _words(spark, sf_dir):
@@ -423,7 +405,7 @@ def nlp8(spark, sf_dir):
 
 @query("AGG16B")
 def agg16(spark, sf_dir):
-    return genes.two_hop_dictionary(table(spark, sf_dir, "lineitem").where("l_orderkey < 50").select(F.col("l_partkey").alias("name"), F.col("l_orderkey").alias("entry")))
+    return genes.two_hop_dictionary(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("entry")))
 
 
 @query("NLP9")
@@ -504,8 +486,8 @@ def q6(spark, sf_dir):
 
 @query("Q4")
 def q4(spark, sf_dir):
-    syn = table(spark, sf_dir, "part").select(F.lower("p_name").alias("synonym"), F.col("p_brand").alias("canonical"), F.col("p_partkey").alias("ord"))
-    return products.resolve(table(spark, sf_dir, "part").select("p_partkey", products.canonical(F.concat("p_name", F.lit("s"))).alias("name")), syn)
+    syn = table(spark, sf_dir, "part").select(F.replace(F.lower("p_name"), F.lit(" "), F.lit("")).alias("synonym"), F.col("p_brand").alias("canonical"), F.col("p_partkey").alias("ord"))
+    return products.resolve(table(spark, sf_dir, "part").select("p_partkey", cleaning.family_name(cleaning.greek_names(cleaning.canonical_name(cleaning.canonical_name(F.concat("p_name", F.lit("s")))))).alias("name")), syn)
 
 
 @query("Q7")
@@ -552,7 +534,7 @@ def ml8(spark, sf_dir):
     return spark.createDataFrame([*weights[:20], *weights[-20:]], "word string, weight double")
 
 
-@query("NLP1", "select query_id, vec_id, place from (select q.vec_id as query_id, v.vec_id, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 9) desc, v.vec_id) as place from embeddings v join embeddings q on v.vec_id <> q.vec_id where q.vec_id < 10) x where place <= 5")
+@query("NLP1", "select query_id, vec_id, place from (select q.vec_id as query_id, v.vec_id, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 9) desc, v.vec_id) as place from embeddings v join embeddings q on v.vec_id <> q.vec_id where q.vec_id % 50 = 0) x where place <= 5")
 def nlp1(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return classify.nearest(e, e.where("vec_id < 10")).select("query_id", "vec_id", "place")
+    return classify.nearest(e, e.where("vec_id % 50 = 0")).select("query_id", "vec_id", "place")
