@@ -40,6 +40,8 @@ class ShardWriter:
         self.out = self.fs.open_output_stream(f"{self.part}.arrow")
         self.stream = pa.ipc.new_stream(self.out, self.schema)
         self.held, self.n_held, self.total = [], 0, 0
+        self.index_out = self.fs.open_output_stream(f"{self.part}.index")
+        self.index = pa.ipc.new_stream(self.index_out, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]))
         self.docs, self.starts, self.sizes = [], [], []
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
@@ -51,6 +53,13 @@ class ShardWriter:
         self.n_held += len(ids)
         if self.n_held >= self.length * self.rows:
             self._flush(False)
+        if len(self.docs) >= 10_000:
+            self._flush_index()
+
+    def _flush_index(self) -> None:
+        pa = self.pa
+        self.index.write_batch(pa.record_batch([pa.array(x, pa.int64()) for x in (self.docs, self.starts, self.sizes)], names=["doc_id", "start", "n_tokens"]))
+        self.docs, self.starts, self.sizes = [], [], []
 
     def _flush(self, last: bool) -> None:
         ids = np.concatenate(self.held) if self.held else np.zeros(0, self.dtype)
@@ -71,13 +80,12 @@ class ShardWriter:
         self.n_held = 0 if last else len(full) - n
 
     def close(self) -> None:
-        pa = self.pa
         self._flush(True)
         self.stream.close()
         self.out.close()
-        index = pa.table({"doc_id": pa.array(self.docs, pa.int64()), "start": pa.array(self.starts, pa.int64()), "n_tokens": pa.array(self.sizes, pa.int64())})
-        with self.fs.open_output_stream(f"{self.part}.index") as out, pa.ipc.new_stream(out, index.schema) as stream:
-            stream.write_table(index)
+        self._flush_index()
+        self.index.close()
+        self.index_out.close()
         self.fs.move(f"{self.part}.index", f"{self.final}.index")
         self.fs.move(f"{self.part}.arrow", f"{self.final}.arrow")
 
@@ -119,11 +127,12 @@ class Shard:
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint16)
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, length: int = 2048, rows: int = 64) -> list[tuple[str, int, int]]:
+def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, length: int = 2048, rows: int = 64, shard_docs: int = 4096) -> list[tuple[str, int, int]]:
     """Write all documents' ids as shards in folder; (shard, first id, ids) of each, in order.
 
     Null text is empty: its document is the end id alone. Rows that repeat an id follow each other in the
-    order of their texts. An empty table gives no shard. Only a row per shard reaches the driver.
+    order of their texts; rows without an id come first. A shard holds about shard_docs documents, one per task,
+    which streams them. An empty table gives no shard. Only a row per shard reaches the driver.
     """
     import pyarrow as pa
 
@@ -148,9 +157,8 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, l
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([writer.total], pa.int64())], names=["part", "n"])
 
-    spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dealt = src.repartitionByRange(C.partitions(spark) * 2, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = src.repartitionByRange(max(1, -(-src.count() // shard_docs)), "doc_id").sortWithinPartitions("doc_id", "text")
     written, first = [], 0
     for part, n in sorted(map(tuple, dealt.mapInArrow(run, "part long, n long").collect())):
         written.append((f"{folder}/shard-{part:06d}", first, n))

@@ -1,15 +1,19 @@
 """Mixture-controlled packing: deficit round-robin over source queues into windows of equal length.
 
-Documents are dealt by a hash of their id into chunks of about chunk_tokens ids, so that each chunk has
-about the corpus's mixture and bounded size whatever the sources' sizes. In a chunk every source is a
-queue, in doc_id order. Each window gives source s its quantum, share(s) * window, plus the deficit that
-it carries; it serves the queues in order of what they are owed and fills what is left from the others.
-A chunk starts with the deficits that all chunks before it leave, which follow from per-chunk sums. Only
+Every source is a queue in the order of a hash, and each named source is consumed at its target's rate until it is
+dry; then the others share what it leaves. That schedule gives each document its place among all ids, and documents
+are dealt by it into chunks of about chunk_tokens ids: a chunk holds what its windows need, and its size is bounded
+whatever the sources' sizes. No chunk reaches over the point where a source runs dry. In a chunk each window gives
+source s its quantum, which is what the chunk holds of s spread evenly over its windows (the target, but for the
+sizes of documents), plus the deficit that it carries; it serves the queues in order of what they are owed and fills
+what is left from the others. A chunk starts with the deficits that all chunks before it leave, up to CARRIED of a
+window a source, so that no window makes up for all of them; they follow from per-chunk sums and the schedule. Only
 the last window of a chunk can be short, so padding is below window / chunk_tokens of all ids.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
+CARRIED = 0.05
 NO_ID = -(1 << 63)  # stands for a null id inside a chunk
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -70,23 +75,57 @@ def fill_windows(share: np.ndarray, owed: np.ndarray, have: np.ndarray, window:
     return np.array(takes, np.int64).reshape(len(takes), len(share))
 
 
-def _pack_chunk(window: int, with_ids: bool):
+class Schedule:
+    """Which source gives how much by when. Time is such that a named source gives its share in each unit of it."""
+
+    def __init__(self, targets: dict[str, float], totals: dict[str | None, int], rest: int):
+        weight = {k: float(w) for k, w in targets.items() if w > 0 and totals.get(k)}
+        self.share = {k: w / sum(weight.values()) for k, w in weight.items()}
+        self.dry = {k: totals[k] / q for k, q in self.share.items()}  # when each has given all
+        self.last, self.rest = max(self.dry.values(), default=0.0), rest  # then the sources without a target, all at once
+        self.times = [0.0, *sorted(self.dry.values()), self.last + 1]
+        self.given = [sum(q * min(t, self.dry[k]) for k, q in self.share.items()) + rest * max(0.0, t - self.last) for t in self.times]
+
+    def owed(self, source: str | None, total: int, ids: float) -> float:
+        """What a source should have given once all have given so many ids."""
+        t = float(np.interp(ids, self.given, self.times))
+        return self.share[source] * min(t, self.dry[source]) if source in self.share else total * max(0.0, t - self.last)
+
+    def chunks(self, place: "F.Column", most: int) -> tuple["F.Column", list[float]]:
+        """The chunk of a place, and where each chunk begins: stretches between dry points in even parts of up to most ids."""
+        starts, parts = [], []
+        for a, b in zip(self.given[:-1], self.given[1:], strict=True):
+            if b > a or not starts:
+                n = max(1, math.ceil((b - a) / most))
+                parts.append(F.struct(F.lit(a).alias("a"), F.lit(max(b - a, 1.0) / n).alias("step"), F.lit(len(starts)).alias("base"), F.lit(n - 1).alias("last")))
+                starts += [a + (b - a) * i / n for i in range(n)]
+        where = F.aggregate(F.array(*parts), F.lit(0).cast("long"), lambda s, x: F.when(place >= x["a"], x["base"] + F.least(F.floor((place - x["a"]) / x["step"]), x["last"].cast("long"))).otherwise(s))
+        return where, starts
+
+    def place(self, source: "F.Column", u: "F.Column") -> "F.Column":
+        """The place among all ids of what stands at fraction u of its source."""
+        dry = F.create_map(*[F.lit(x) for k, v in self.dry.items() for x in (k, v)]) if self.dry else F.lit(None).cast("map<string,double>")
+        t = F.coalesce(F.try_element_at(dry, F.coalesce(source, F.lit(""))) * u, u + self.last)
+        named = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(self.dry[k]).alias("d")) for k, q in self.share.items()]) if self.share else F.array().cast("array<struct<q: double, d: double>>")
+        return F.aggregate(named, F.greatest(t - self.last, F.lit(0.0)) * float(self.rest), lambda s, x: s + x["q"] * F.least(t, x["d"]))
+
+
+def _pack_chunk(window: int, with_ids: bool, schedule: Schedule | None, starts: list[float], total: int):
     import pyarrow as pa
 
     def run(rows: pa.Table, stats: pa.Table) -> pa.Table:
         names = sorted({x for x in rows.column("source").to_pylist()}, key=lambda x: (x is not None, x or ""))
-        at = {x: i for i, x in enumerate(names)}
-        share, owed = np.zeros(len(names)), np.zeros(len(names))
-        for s, q, before, all_before in zip(*(stats.column(c).to_pylist() for c in ("source", "share", "before", "all_before")), strict=True):
-            if s in at:
-                share[at[s]], owed[at[s]] = q, q * all_before - before
-        owed -= owed.mean()  # what the sources absent from this chunk are owed waits for a later one
-        share /= share.sum()
+        at, owed = {x: i for i, x in enumerate(names)}, np.zeros(len(names))
+        start = starts[int(rows.column("chunk")[0].as_py())] if schedule else int(rows.column("chunk")[0].as_py()) * starts[0]
+        for s, before, all_n in zip(*(stats.column(c).to_pylist() for c in ("source", "before", "all_n")), strict=True):
+            owed[at[s]] = (all_n * start / total if schedule is None else schedule.owed(s, all_n, start)) - before
         queue = np.array([at[x] for x in rows.column("source").to_pylist()])
         ids_of, doc, n = rows.column("ids").combine_chunks(), rows.column("doc_id").fill_null(NO_ID).to_numpy(), rows.column("n_tokens").to_numpy()
         width = rows.column("width")[0].as_py()
         order = np.lexsort((doc, queue))
         have = np.bincount(queue, weights=n, minlength=len(names)).astype(np.int64)
+        share = have / have.sum()
+        owed = np.clip(owed, -CARRIED * window, np.minimum(have, CARRIED * window))  # only what can still be served is carried
         take = fill_windows(share, owed, have, window)
         base = np.cumsum(take, 1) - take  # where a source's ids stand in each window
         chunk = int(rows.column("chunk")[0].as_py())
@@ -125,33 +164,33 @@ def pack(
 ) -> DataFrame:
     """One row per piece of a document: which ids of it stand at which offset of which window.
 
-    targets gives sources' shares (those it doesn't name share nothing until the others run dry); without it
-    the corpus's own shares hold. Null text is empty, so the document is its end id alone; a null source is a
-    queue of its own; a null id stays null; rows that repeat an id are packed one by one; an empty table gives no piece.
+    targets gives sources' shares, in any scale: every window holds them while the sources last. Sources that it doesn't
+    name follow once those are dry. Without it the corpus's own shares hold. Null text is empty, so the document is its
+    end id alone; a null source is a queue of its own; a null id stays null; rows that repeat an id are packed one by one
+    (those of the same id and text in one chunk); an empty table gives no piece.
     """
     if "source" not in docs.columns:
         docs = docs.withColumn("source", F.lit(None).cast("string"))
-    spark = docs.sparkSession
     tok = C.materialise(tokenise(docs, tokenizer, end_id), "tokens")
     total = tok.agg(F.sum("n_tokens")).first()[0] or 0
     chunks = max(1, -(-total // chunk_tokens))
     # a second hash than the shuffle's, so that chunks of one id range don't meet in one task
-    dealt = tok.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.lit(chunks)))
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", "ids", F.lit("chunk")), 11) / float(1 << 53)
+    schedule, starts = None, [max(total, 1) / chunks]
+    chunk = F.least(F.floor(u * float(chunks)), F.lit(chunks - 1))
+    if targets is not None:
+        named = tok.where(F.col("source").isin(*targets)).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect() if targets else []
+        totals = {r[0]: r[1] for r in named}  # as many as there are targets
+        schedule = Schedule(targets, totals, total - sum(v for k, v in totals.items() if targets[k] > 0))
+        chunk, starts = schedule.chunks(schedule.place(F.col("source"), u), chunk_tokens)
+    dealt = tok.withColumn("chunk", chunk.cast("long"))
     sums = C.materialise(dealt.groupBy("chunk", "source").agg(F.sum("n_tokens").alias("n")), "chunk-sums")
     by_source = sums.groupBy("source").agg(F.sum("n").alias("all_n"))
-    if targets is None:
-        share = by_source.select("source", (F.col("all_n") / F.lit(float(max(total, 1)))).alias("share"))
-    else:
-        weight = spark.createDataFrame([(k, float(v)) for k, v in targets.items()], "source string, weight double")
-        share = by_source.join(weight, by_source["source"].eqNullSafe(weight["source"]), "left").select(by_source["source"], F.coalesce("weight", F.lit(1e-12)).alias("share"))
     before = W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    # one row per chunk, a few bytes for some million ids: the only step that isn't dealt out
-    all_before = sums.groupBy("chunk").agg(F.sum("n").alias("n")).select("chunk", F.coalesce(F.sum("n").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("all_before"))
     stats = (
         sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .join(all_before, "chunk")
         .alias("x")
-        .join(share.alias("q"), F.expr("x.source <=> q.source"))
-        .select("chunk", "x.source", "share", F.col("before").cast("double").alias("before"), F.col("all_before").cast("double").alias("all_before"))
+        .join(by_source.alias("q"), F.expr("x.source <=> q.source"))
+        .select("chunk", "x.source", "before", "all_n")
     )
-    return dealt.groupBy("chunk").cogroup(stats.groupBy("chunk")).applyInArrow(_pack_chunk(window, with_ids), PIECES)
+    return dealt.groupBy("chunk").cogroup(stats.groupBy("chunk")).applyInArrow(_pack_chunk(window, with_ids, schedule, starts, max(total, 1)), PIECES)

@@ -120,3 +120,30 @@ def test_pipeline(spark):
 
     got = corpus_pipeline.run(spark, data.SF)
     assert "sequence_id" in got.columns and got.count() > 0
+
+
+def test_packing_holds_targets_over_chunks(spark):
+    import public_tokenizers
+
+    from lodestone.llm import packing
+
+    rnd = random.Random(3)
+    docs = [(i, " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rnd.randrange(20, 200)))) for i in range(1500)]
+    df = data.documents(spark, docs).withColumn("source", F.when(F.col("doc_id") % 5 < 2, "a").when(F.col("doc_id") % 5 < 4, "b").otherwise(F.lit(None)))
+    got = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), window=512, chunk_tokens=20_000, targets={"a": 3, "b": 1}).collect()
+    assert sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
+    windows = {}
+    for r in got:
+        windows.setdefault(r.sequence_id, {}).setdefault(r.source, 0)
+        windows[r.sequence_id][r.source] += r.length
+    order = sorted(windows)
+    all_a = sum(w.get("a", 0) for w in windows.values())
+    done, on_target, seen = 0, 0, 0
+    for k in order:
+        w = windows[k]
+        if done < 0.9 * all_a and sum(w.values()) == 512:
+            seen += 1
+            on_target += abs(w.get("a", 0) / 512 - 0.75) <= 0.1 and None not in w
+        done += w.get("a", 0)
+    assert len({k >> 32 for k in order}) >= 6 and seen > 50 and on_target >= 0.95 * seen
+    assert sum(None in windows[k] for k in order[: len(order) // 2]) == 0

@@ -39,3 +39,23 @@ def test_packing_keeps_null_ids(spark):
 def test_vectors_without_an_id_link_with_nothing(spark):
     emb = spark.createDataFrame([(1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (2, [1.0, 0.01], 1)], "vec_id long, embedding array<float>, label int")
     assert sorted((str(r.vec_id), r.n_links) for r in embed_join.near_vectors(emb).collect()) == [("1", 1), ("2", 1), ("None", 0)]
+
+
+def test_token_store_puts_rows_without_an_id_first(spark, tmp_path):
+    import public_tokenizers
+    from lodestone.llm import arrow_store
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    shards = arrow_store.write_store(table(spark), f"file://{tmp_path}/s", path, shard_docs=2)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in arrow_store.read_store(spark, shards).collect())
+    assert [r[1] for r in got] == [None, None, None, 8, 9] and [r[0] for r in got] == [sum(x[2] for x in got[:i]) for i in range(5)]
+
+
+def test_repeats_go_from_rows_without_an_id_too(spark):
+    only = "z" * 10 + "".join(chr(97 + i * i * 7 % 26) + str(i) for i in range(300))
+    for other in (None, 1):
+        docs = data.documents(spark, [(5, only + " five")]).unionByName(data.documents(spark, [(0, "none " + only)]).withColumn("doc_id", F.lit(other).cast("long")))
+        assert all(r.n_removed >= len(only) for r in suffix_dedup.repeated_bytes(docs).collect())
+    lines = data.documents(spark, [(5, "one line here\nmine")]).unionByName(data.documents(spark, [(0, "one line here\nyours")]).withColumn("doc_id", F.lit(None).cast("long")))
+    assert sorted((str(r.doc_id), r.n_removed) for r in unit_dedup.remove_repeats(lines).collect()) == [("5", 0), ("None", 1)]
+    assert sorted((str(r.doc_id), r.n_removed) for r in line_dedup.dedup_lines(lines).collect()) == [("5", 0), ("None", 1)]
