@@ -27,6 +27,11 @@ def normalise(unit: str) -> str:
     return _ENDS.sub("", " ".join((unit if unit.isascii() else unicodedata.normalize("NFKC", unit)).casefold().split()))
 
 
+def n_words(plain: str) -> int:
+    """Words between blanks, or a sixth of the characters where that is more, as some scripts have no blanks."""
+    return max(plain.count(" ") + 1, len(plain) // 6)
+
+
 def units(text: str, kind: str):
     """(start, end) of every unit, without the break behind it."""
     at = 0
@@ -39,7 +44,7 @@ def units(text: str, kind: str):
 def remove_repeats(docs: DataFrame, kind: str = "line", min_words: int = 1) -> DataFrame:
     """Per row of docs: doc_id, n_units, n_removed, n_chars (that stay), n_chars_in, spans (original offsets), text (what stays).
 
-    Units of fewer than min_words words, and those without a letter or digit, always stay. A removed unit takes the break behind it along (at the
+    Units of fewer than min_words words (see n_words), and those without a letter or digit, always stay. A removed unit takes the break behind it along (at the
     end of the text, the break before it). Null text is empty. Equal rows of one id are one occurrence: they
     keep and lose the same units; different texts under one id rank by their place. Rows without an id rank last;
     those of the same text count as one occurrence too. An empty table gives an empty result.
@@ -57,7 +62,7 @@ def remove_repeats(docs: DataFrame, kind: str = "line", min_words: int = 1) -> D
                 for r, text in enumerate(part.column(2).to_pylist()):
                     for a, b in units(text, kind):
                         plain = normalise(text[a:b])
-                        if plain.count(" ") + 1 >= min_words and plain:
+                        if plain and n_words(plain) >= min_words:
                             d = hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                             row.append(r)
                             start.append(a)
