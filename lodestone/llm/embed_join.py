@@ -117,7 +117,8 @@ def near_vectors(table: DataFrame, cosine: float = 0.93, pivots: int | None = No
     Vectors link if their labels are equal and not null and their cosine is at least the bound. Vectors that
     are null, zero or hold null or non-finite components, and those without a label or id, link with nothing; a
     vector of fewer dimensions counts as padded by zeros. Rows that repeat an id link like any others, and
-    the id's row carries the links of all its rows.
+    the id's row carries the links of all its rows. Rows without an id have no component and are kept. An empty table
+    gives an empty result.
     """
     spark = table.sparkSession
     src = table.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
@@ -153,4 +154,4 @@ def near_vectors(table: DataFrame, cosine: float = 0.93, pivots: int | None = No
     links = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     comps = C.connected_components(found.select(F.col("vec_id").alias("a"), F.col("peer").alias("b")))
     out = src.select("vec_id").join(links, "vec_id", "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"))
-    return C.with_component(out, "vec_id", comps, "component_id").withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return C.with_component(out, "vec_id", comps, "component_id").withColumn("kept", F.col("vec_id").isNull() | (F.col("vec_id") == F.col("component_id")))
