@@ -80,8 +80,32 @@ def op10_arrow_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_store.read_store(spark, shards)
 
 
+def op11_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import personal
+
+    return personal.personal_report(C.table(spark, sf_dir, "documents"))
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ball_kmeans
+
+    return ball_kmeans.ball_kmeans(C.table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import spelling
+
+    return spelling.spelling_groups(C.table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> dict[str, str]:
+    from . import ball_kmeans
+
+    return {"op12_ball_kmeans": ball_kmeans.oracle_sql()}
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_langid, op3_decontaminate, op4_html, op5_minhash, op6_embed_join, op7_pack, op8_unit_dedup, op9_suffix_dedup, op10_arrow_store)
+    for f in (op1_line_dedup, op2_langid, op3_decontaminate, op4_html, op5_minhash, op6_embed_join, op7_pack, op8_unit_dedup, op9_suffix_dedup, op10_arrow_store, op11_personal, op12_ball_kmeans, op13_spelling)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = _oracle()
