@@ -490,12 +490,6 @@ def q4(spark, sf_dir):
     return products.resolve(table(spark, sf_dir, "part").select("p_partkey", cleaning.family_name(cleaning.greek_names(cleaning.canonical_name(cleaning.canonical_name(F.concat("p_name", F.lit("s")))))).alias("name")), syn)
 
 
-@query("Q7")
-def q7(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    return relations.choose_reaction(li.select(F.col("l_suppkey").alias("gene"), F.col("l_orderkey").alias("paper"), F.col("l_partkey").alias("reaction"), (F.col("l_quantity") % 3).cast("int").alias("specific"), (F.col("l_linenumber") % 3).cast("int").alias("presence"), F.col("l_quantity").cast("int").alias("matches")))
-
-
 # ---- models --------------------------------------------------------------------------------------------
 
 

@@ -60,7 +60,6 @@ SQL = {
     "AGG18": "select l_partkey from lineitem where l_returnflag in ('A', 'N', 'R') group by l_partkey having count(distinct l_returnflag) = 3",
     # order-dependent
     "WIN1": "select distinct c_nationkey, c_mktsegment, dense_rank() over (partition by c_nationkey order by first) as code from (select c_nationkey, c_mktsegment, min(c_custkey) over (partition by c_nationkey, c_mktsegment) as first from customer) x",
-    "WIN2": "select l_orderkey, l_linenumber, l_partkey, case when l_discount > 0 then 'A' else 'D' end as stage from (select l_orderkey, l_linenumber, l_partkey, l_discount, row_number() over (partition by l_orderkey order by l_discount desc, l_quantity desc, l_tax desc, l_linenumber, l_partkey) as r from lineitem) x where r = 1",
     "WIN4": "select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as r from orders) x where r = 1",
     "WIN5": "select distinct l_returnflag, l_linestatus, l_linenumber from lineitem",
     "WIN6": "select l.l_orderkey, l.l_linenumber, l.l_quantity from lineitem l join (select l_orderkey, min(l_linenumber) as m from lineitem group by l_orderkey) f on l.l_orderkey = f.l_orderkey and l.l_linenumber = f.m",

@@ -98,8 +98,6 @@ def test_relations(spark):
     assert [(r.a, r.c) for r in df.select("a", relations.direction(F.col("a")).alias("c")).collect()] == [(r.a, r.b) for r in df.collect()]
     g = spark.createDataFrame([(1, "x", ["1.1.1.1", "2.-.-.-", "3.5"], ["was deleted", "seen"]), (1, "y", ["1.1"], ["deleted"]), (2, "z", None, None)], "paper int, gene string, ecs array<string>, actions array<string>")
     assert [(r.paper, r.gene, r.ecs, [tuple(m) for m in r.mods]) for r in relations.relevant(g).collect()] == [(1, "x", ["1.1.1.1"], [("delet", "Negative")])]
-    c = spark.createDataFrame([("g", 1, "r1", 2, 0, 5), ("g", 1, "r2", 2, 1, 3), ("g", 1, "r3", 1, 2, 9), ("h", 1, "r4", 0, 1, 2), ("h", 1, "r5", 0, 1, 2)], "gene string, paper int, reaction string, specific int, presence int, matches int")
-    assert sorted((r.reaction, r.stage) for r in relations.choose_reaction(c).collect()) == [("r2", "A"), ("r4", "E"), ("r5", "E")]
 
 
 def test_published_checks(spark, tmp_path):
