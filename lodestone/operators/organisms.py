@@ -1,47 +1,108 @@
-"""Organism detection over token lists, by a dictionary of names."""
+"""Organism detection over token lists, by a dictionary of names of several tokens.
+
+The dictionary is a set of small tables made from a taxonomy of full names; tokens meet it as runs of four by equi-joins,
+which Spark broadcasts where the dictionary is small enough and shuffles where it is not. What depends on the row (an
+abbreviated genus counts only where no full one stands) is told from the tokens that have met a genus, by article.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-GENERAL = ("pcc", "spp", "sp", "spp.", "sp.")
+from . import scratch
+
+# Words that stand for any species, and culture collections, whose number is the next token.
+GENERAL = ("pcc", "spp", "sp")
+COLLECTIONS = ("pcc", "atcc")
+CODE = "^[A-Z0-9]+$"
+
+
+@dataclass(frozen=True)
+class Dictionary:
+    """genera (cap, full): capitalised genera, and their initials with full false; pairs (pair, full): lower-cased genus and
+    species, and initial and species with full false; codes (code): lower-cased words that may stand behind a general one."""
+
+    genera: DataFrame
+    pairs: DataFrame
+    codes: DataFrame
+
 
+def capital(word: Column) -> Column:
+    return F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substring(word, F.lit(2), F.length(word))))
 
-def detect(articles: DataFrame, taxonomy: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """articles with organism: the first adjacent pair that names one, else the first abbreviated pair, else `yeast`.
 
-    taxonomy: genus, species. A pair is (genus, species) of one name or a genus before a general word, which takes
-    the next token along if that looks like a strain code. Abbreviated genera count only where no full genus does.
+def dictionary(taxonomy: DataFrame) -> Dictionary:
+    """From (genus, full_name): genera may be several, split by a slash; names may hold markup and special characters.
+
+    Initials are those of all genera. Second words with `degrading` are no codes; last words are.
     """
-    own = F.monotonically_increasing_id().alias("__row")
-    keyed = articles.select("*", own)
-    triple = f"transform(sequence(1, size({tokens}) - 1), i -> struct({tokens}[i - 1] as a, {tokens}[i] as b, get({tokens}, i + 1) as c))"
-    pairs = keyed.where(F.size(tokens) > 1).select("__row", F.posexplode(F.expr(triple)).alias("pos", "t"))
-    pairs = pairs.select("__row", "pos", "t.*")
-    full = taxonomy.select(F.col("genus").alias("a"), F.col("species").alias("b"), F.concat_ws(" ", "genus", "species").alias("name")).distinct()
-    short = taxonomy.groupBy(F.substring("genus", 1, 1).alias("a"), F.col("species").alias("b")).agg(F.max(F.concat_ws(" ", "genus", "species")).alias("name"))
-    genera = taxonomy.select(F.col("genus").alias("a")).distinct()
-    code = F.when(F.col("c").rlike("^[A-Z0-9]+$"), F.concat(F.lit(" "), F.col("c"))).otherwise("")
-    exact = pairs.join(full, ["a", "b"]).select("__row", F.lit(0).alias("step"), "pos", "name")
-    general = pairs.where(F.lower("b").isin(*GENERAL)).join(genera, "a").select("__row", F.lit(0).alias("step"), "pos", F.concat(F.col("a"), F.lit(" "), F.col("b"), code).alias("name"))
-    brief = pairs.withColumn("a", F.rtrim(F.col("a"), F.lit("."))).where(F.length("a") == 1).join(short, ["a", "b"]).select("__row", F.lit(1).alias("step"), "pos", "name")
-    first = exact.unionByName(general).unionByName(brief).groupBy("__row").agg(F.min_by("name", F.struct("step", "pos", "name")).alias("__name"))
-    out = keyed.join(first, "__row", "left")
-    yeast = F.when(F.exists(tokens, lambda t: F.lower(t) == "yeast"), F.lit("yeast"))
-    return out.withColumn("organism", F.coalesce("__name", yeast)).drop("__row", "__name")
-
-
-def cascade(articles: DataFrame, sources: list[str], extract, out: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+    genera = taxonomy.select(F.explode(F.split("genus", "/")).alias("g")).where("g <> ''").select(F.col("g")).distinct()
+    full = genera.select(capital(F.col("g")).alias("cap"), F.lit(True).alias("full"))
+    short = genera.select(F.upper(F.left("g", F.lit(1))).alias("cap"), F.lit(False).alias("full"))
+    words = taxonomy.where("full_name is not null").select(F.split("full_name", " ").alias("w"), "full_name")
+    plain = F.regexp_replace(F.regexp_replace(F.array_join(F.slice("w", 1, 2), " "), "<.*?>", ""), "[^a-zA-Z0-9 ]+", " ")
+    name = words.select(F.lower(F.rtrim(plain)).alias("pair")).where("pair rlike '^[^0-9].* '")
+    # two words after cleaning, as more can come of a hyphen
+    first_two = F.array_join(F.slice(F.filter(F.split("pair", " "), lambda x: x != ""), 1, 2), " ")
+    name = name.select(first_two.alias("pair")).distinct()
+    brief = name.select(F.concat(F.left("pair", F.lit(1)), F.lit(" "), F.element_at(F.split("pair", " "), 2)).alias("pair"))
+    second = words.select(F.lower(F.get("w", F.lit(1))).alias("code")).where("code is not null and code not like '%degrading%'")
+    codes = second.union(words.select(F.lower(F.element_at("w", -1)))).where("code <> ''")
+    one = lambda a, b, key: a.unionByName(b).groupBy(key).agg(F.max("full").alias("full"), F.max(~F.col("full")).alias("brief"))
+    return Dictionary(one(full, short, "cap"), one(name.select("pair", F.lit(True).alias("full")), brief.select("pair", F.lit(False).alias("full")), "pair"), codes.distinct())
+
+
+def detect(articles: DataFrame, names: Dictionary, tokens: str = "tokens", key: str = "article") -> DataFrame:
+    """articles with organisms, an array of distinct names in order of place; null where there are none.
+
+    key tells rows apart. A pair of tokens counts if its first is a genus (an initial where the row has no full genus),
+    doesn't start with a digit, and not both are single characters. It names an organism if it is a name of the
+    dictionary or its second token is a general word; behind a general word a third token is taken along if it is
+    a code, and a fourth if the third is a culture collection and the fourth a code. Rows without any take pairs of an
+    initial and a species; rows without these `yeast`, where that word stands. Null tokens, and null or empty arrays,
+    match nothing.
+    """
+    w = lambda i: F.coalesce(F.get(tokens, i), F.lit(""))
+    runs = F.transform(F.sequence(F.lit(0), F.size(tokens) - 2), lambda i: F.struct(w(i).alias("a"), w(i + 1).alias("b"), w(i + 2).alias("c"), w(i + 3).alias("d")))
+    four = articles.where(F.size(tokens) > 1).select(F.col(key).alias("__key"), F.posexplode(runs).alias("pos", "r")).select("__key", "pos", "r.*").where("a <> '' and b <> ''")
+    met = four.withColumn("cap", capital(F.col("a"))).join(names.genera, "cap")
+    own = W.partitionBy("__key")
+    met = met.withColumn("any_full", F.max("full").over(own))
+    met = met.where((F.col("full") | (F.col("brief") & ~F.col("any_full"))) & ~F.col("a").rlike("^[0-9]") & ~((F.length("a") == 1) & (F.length("b") == 1)))
+    met = met.select("__key", "pos", "a", "b", "c", "d", F.lower(F.concat_ws(" ", "a", "b")).alias("pair"))
+    named = met.join(names.pairs, "pair", "left").withColumn("general", F.lower("b").isin(*GENERAL))
+    named = named.where("full or brief or general")
+    third, fourth = names.codes.select(F.col("code").alias("c3"), F.lit(True).alias("k3")), names.codes.select(F.col("code").alias("c4"), F.lit(True).alias("k4"))
+    named = named.join(third, F.col("general") & (F.lower("c") == F.col("c3")), "left").join(fourth, F.col("general") & F.lower("c").isin(*COLLECTIONS) & (F.lower("d") == F.col("c4")), "left")
+    collection = F.lower("c").isin(*COLLECTIONS)
+    takes3 = F.col("general") & (F.col("c") != "") & (F.col("c").rlike(CODE) | F.col("k3").isNotNull() | collection)
+    takes4 = takes3 & collection & (F.col("d") != "") & (F.col("d").rlike(CODE) | F.col("k4").isNotNull())
+    name = F.when(takes4, F.concat_ws(" ", "a", "b", "c", "d")).when(takes3, F.concat_ws(" ", "a", "b", "c")).otherwise(F.concat_ws(" ", "a", "b"))
+    sure = F.coalesce(F.col("full"), F.lit(False)) | F.col("general")
+    in_order = lambda which: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("pos", "name")))), lambda s: s["name"]))
+    found = named.withColumn("name", name).groupBy("__key").agg(in_order(sure).alias("__sure"), in_order(~sure).alias("__brief"))
+    out = articles.join(found, F.col(key) == F.col("__key"), "left")
+    yeast = F.when(F.exists(tokens, lambda t: F.lower(t) == "yeast"), F.array(F.lit("yeast")))
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    return out.withColumn("organisms", F.coalesce(some("__sure"), some("__brief"), yeast)).drop("__key", "__sure", "__brief")
+
+
+def cascade(articles: DataFrame, sources: list[str], extract, out: str, ignore: Column | None = None) -> DataFrame:
     """extract(frame, column) on the first source that yields a value, with where it came from.
 
-    Only rows that are still without a value reach the next source, so a costly extractor sees each once.
+    A value equal to ignore is none. Only rows that are still without a value reach the next source, so a costly
+    extractor sees each once; the rows left are written to the shared folder between sources, so that no source before
+    is asked again.
     """
     left, done = articles, None
     for column in sources:
         tried = extract(left, column)
-        value = F.when(~F.col(out).isin(*ignore), F.col(out)) if ignore else F.col(out)
-        tried = tried.withColumn(out, value).withColumn(f"{out}_source", F.when(F.col(out).isNotNull(), F.lit(column)))
+        value = F.when(F.col(out) != ignore, F.col(out)) if ignore is not None else F.col(out)
+        tried = scratch.written(tried.withColumn(out, value).withColumn(f"{out}_source", F.when(F.col(out).isNotNull(), F.lit(column))))
         hit = tried.where(F.col(out).isNotNull())
         done = hit if done is None else done.unionByName(hit)
         left = tried.where(F.col(out).isNull()).drop(out, f"{out}_source")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, cleaning, text
 from ..functions.rules import Rule, rewrite, without_words
-from ..operators import classify, explorer, genes, organisms, products, relations, similar
+from ..operators import classify, explorer, genes, products, relations, scratch, similar
 from ..sources import readers, writers
 
 QUERIES, ORACLE = {}, {}
@@ -32,9 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    """A place for files: the cluster's shared folder, or a local one where there is none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-files-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex[:12]}"
+    return scratch.folder(spark)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,24 +373,6 @@ def _words(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("article"), F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("tokens"))
 
 
-def _taxonomy(spark, sf_dir):
-    pairs = _words(spark, sf_dir).where("size(tokens) > 4").select(F.initcap(F.col("tokens")[2]).alias("genus"), F.lower(F.col("tokens")[3]).alias("species"))
-    return pairs.where("genus rlike '^[A-Z][a-z]+$'").distinct()
-
-
-@query("NLP7")
-def nlp7(spark, sf_dir):
-    tokens = F.transform("tokens", lambda t, i: F.when(i == 2, F.initcap(t)).when(i == 3, F.lower(t)).otherwise(t))
-    return organisms.detect(_words(spark, sf_dir).withColumn("tokens", tokens), _taxonomy(spark, sf_dir)).select("article", "organism")
-
-
-@query("Q2")
-def q2(spark, sf_dir):
-    w = _words(spark, sf_dir).select("article", F.slice("tokens", 1, 6).alias("title"), "tokens")
-    extract = lambda df, c: organisms.detect(df, _taxonomy(spark, sf_dir), c)
-    return organisms.cascade(w, ["title", "tokens"], extract, "organism", ("yeast",)).select("article", "organism", "organism_source")
-
-
 @query("NLP8", "select t.article, list_sort(list(distinct t.token)) as genes, min(0) as step from (select conv_id * 1000 + turn as article, unnest(regexp_split_to_array(text, '\\s+')) as token from conversations) t where t.token in (select n_name from nation union all select 'the' union all select 'und') group by t.article")
 def nlp8(spark, sf_dir):
     names = _nation(spark, sf_dir).select(F.col("n_name").alias("gene")).union(spark.createDataFrame([("the",), ("und",)], "gene string"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lineage, reactions
+from ..operators import lineage, organisms, reactions
 from . import dialect
 
 QUERIES, ORACLE = {}, {}
@@ -123,3 +123,69 @@ def src17(spark, sf_dir):
     """An order's parent is the customer's order before it; its rank is the priority."""
     found = lineage.lineage(dialect.run_sql(spark, sf_dir, _LINKS), _RANKS)
     return found.withColumnsRenamed({r: f"rank_{r}" for r in _RANKS})
+
+
+# ---- organisms: an order is an article, its lines say what it is about --------------------------------------
+
+_GENUS = "concat(upper(substr(p_name, 1, 1)), substr(p_name, 2, ordinal(p_name, ' ') - 2))"
+_SPECIES = "substr(p_name, ordinal(p_name, ' ') + 1)"
+_PHRASE = f"""case when l_tax < 0.02 then concat('grown in ', {_GENUS}, ' ', {_SPECIES}, ' cells')
+when l_tax < 0.03 then concat(substr({_GENUS}, 1, 1), ' ', {_SPECIES}, ' strain') when l_tax < 0.04 then concat('some ', {_GENUS}, ' sp PCC ', textof(l_partkey), ' was')
+when l_tax < 0.05 then concat({_GENUS}, ' spp ', l_returnflag, 'b ', {_GENUS}, ' pcc ', l_linestatus) when l_tax < 0.06 then concat('the ', substr({_GENUS}, 1, 1), ' sp ', {_SPECIES}, ' Yeast')
+when l_tax < 0.07 then 'yeast extract' else concat('9 sp ', upper(p_name), ' A 1 ', {_GENUS}) end"""
+_PLACE = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
+ARTICLES = f"""select l_orderkey as article, ajoin(alistby(case when place % 4 = 1 then phrase end, place), ' ') as title, ajoin(alistby(case when place % 4 = 2 then phrase end, place), ' ') as abstract,
+ajoin(alistby(case when place % 4 not in (1, 2) then phrase end, place), ' ') as body, ajoin(alistby(phrase, place), ' ') as whole
+from (select l_orderkey, row_number() over (partition by l_orderkey order by {_PLACE}) as place, {_PHRASE} as phrase from lineitem join part on p_partkey = l_partkey) x group by l_orderkey"""
+#: Names of more than eight letters are known; genera are theirs.
+TAXONOMY = f"select distinct {_GENUS} as genus, concat({_GENUS}, ' ', {_SPECIES}, ' ', lower(p_type)) as full_name from part where codepoints(p_name) > 8"
+
+
+def _detected_sql(source: str) -> str:
+    """(article, organisms) of the texts of a column of the view articles, by windows over single tokens."""
+    return f"""(with t as (select article, unnest(string_split({source}, ' ')) w, generate_subscripts(string_split({source}, ' '), 1) pos from articles),
+    n as (select article, pos, w a, lead(w) over o b, lead(w, 2) over o c, lead(w, 3) over o d from t window o as (partition by article order by pos)),
+    tax as ({dialect.duck_text(TAXONOMY)}),
+    full_pair as (select distinct lower(split_part(full_name, ' ', 1) || ' ' || split_part(full_name, ' ', 2)) k from tax),
+    initial_pair as (select distinct left(k, 1) || ' ' || split_part(k, ' ', 2) k from full_pair),
+    code as (select distinct lower(split_part(full_name, ' ', 2)) k from tax union select distinct lower(split_part(full_name, ' ', 3)) from tax),
+    g as (select *, upper(left(a, 1)) || lower(substr(a, 2)) cap, upper(left(a, 1)) || lower(substr(a, 2)) in (select genus from tax) is_genus from n where a <> '' and b <> ''),
+    h as (select *, bool_or(is_genus) over (partition by article) any_full from g),
+    k as (select *, lower(b) in ('sp', 'spp', 'pcc') as general, lower(a || ' ' || b) as pair from h
+      where (is_genus or (not any_full and cap in (select left(genus, 1) from tax))) and not regexp_matches(a, '^[0-9]') and not (length(a) = 1 and length(b) = 1)),
+    m as (select *, pair in (select k from full_pair) as in_full, pair in (select k from initial_pair) as in_initial,
+      general and c <> '' and (regexp_full_match(c, '[A-Z0-9]+') or lower(c) in (select k from code) or lower(c) in ('pcc', 'atcc')) as third,
+      lower(c) in ('pcc', 'atcc') and d <> '' and (regexp_full_match(d, '[A-Z0-9]+') or lower(d) in (select k from code)) as fourth from k),
+    s as (select article, pos, in_full or general as sure, a || ' ' || b || case when third then ' ' || c else '' end || case when third and fourth then ' ' || d else '' end as name
+      from (select * replace (coalesce(third, false) as third, coalesce(fourth, false) as fourth) from m) where in_full or general or in_initial),
+    f as (select article, sure, name, min(pos) pos from s where sure or article not in (select article from s where sure) group by article, sure, name),
+    o as (select article, list(name order by pos) as organisms from f group by article)
+    select a.article, coalesce(o.organisms, case when list_contains(list_transform(string_split({source}, ' '), lambda x: lower(x)), 'yeast') then ['yeast'] end) as organisms from articles a left join o using (article))"""
+
+
+def _articles(spark, sf_dir):
+    a = dialect.run_sql(spark, sf_dir, ARTICLES)
+    return a.select("article", *[F.split(c, " ").alias(c) for c in ("title", "abstract", "body", "whole")])
+
+
+@query("NLP7", f"with articles as ({dialect.duck_text(ARTICLES)}) select article, organisms from {_detected_sql('whole')} x")
+def nlp7(spark, sf_dir):
+    names = organisms.dictionary(dialect.run_sql(spark, sf_dir, TAXONOMY))
+    return organisms.detect(_articles(spark, sf_dir), names, "whole").select("article", "organisms")
+
+
+_YEAST_OUT = "case when organisms = ['yeast'] then null else organisms end"
+
+
+@query(
+    "Q2",
+    f"""with articles as ({dialect.duck_text(ARTICLES)}) select t.article, coalesce(t.o, a.o, b.o) as organisms,
+    case when t.o is not null then 'title' when a.o is not null then 'abstract' when b.o is not null then 'body' else 'not_found' end as organisms_source
+    from (select article, {_YEAST_OUT} as o from {_detected_sql('title')} x) t join (select article, {_YEAST_OUT} as o from {_detected_sql('abstract')} x) a using (article)
+    join (select article, {_YEAST_OUT} as o from {_detected_sql('body')} x) b using (article)""",
+)
+def q2(spark, sf_dir):
+    """Title, then abstract, then the rest; `yeast` alone is no answer, and the next source is asked."""
+    names = organisms.dictionary(dialect.run_sql(spark, sf_dir, TAXONOMY))
+    ask = lambda df, source: organisms.detect(df, names, source)
+    return organisms.cascade(_articles(spark, sf_dir), ["title", "abstract", "body"], ask, "organisms", ignore=F.array(F.lit("yeast"))).select("article", "organisms", "organisms_source")

@@ -58,14 +58,6 @@ def test_csv_cells(spark):
     assert {r.c: r.v for r in df.collect()} == cells
 
 
-def test_organisms(spark):
-    tax = spark.createDataFrame([("Escherichia", "coli"), ("Bacillus", "subtilis")], "genus string, species string")
-    rows = [(1, "the Escherichia coli strain"), (2, "an E. coli strain"), (3, "Bacillus sp. X12 grows"), (4, "baker's yeast"), (5, "nothing here"), (6, "B. subtilis and Escherichia coli"), (7, "")]
-    df = spark.createDataFrame(rows, "id int, text string").withColumn("tokens", F.split("text", " "))
-    got = {r.id: r.organism for r in organisms.detect(df, tax).collect()}
-    assert got == {1: "Escherichia coli", 2: "Escherichia coli", 3: "Bacillus sp. X12", 4: "yeast", 5: None, 6: "Escherichia coli", 7: None}
-
-
 def test_cascade_takes_the_first_source(spark):
     df = spark.createDataFrame([(1, "x", "y"), (2, None, "y"), (3, None, None)], "id int, title string, abstract string")
     out = organisms.cascade(df, ["title", "abstract"], lambda d, c: d.withColumn("v", F.col(c)), "v")
