@@ -260,17 +260,6 @@ def str25(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.lower(rewrite(F.col("text"), _NOISE)).alias("plain"))
 
 
-@query("STR26")
-def str26(spark, sf_dir):
-    rules = [Rule(r"(?i)\b(\w+)\s+(?:is|are|was|were)\s+produced\b", "production of $1"), Rule(r"(?i)\b(?:producing|produces|produced)\s+(\w+)", "production of $1"), Rule(r"(?i)\b(?:bio)?synthesis of\b", "production of")]
-    return table(spark, sf_dir, "documents").select("doc_id", rewrite(F.col("text"), rules).alias("plain"))
-
-
-@query("STR28")
-def str28(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"(?i)\b(?:\w+(?:ive|ous|ful))\s+(?=production\b)", "").alias("plain"))
-
-
 @query("STR29")
 def str29(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.split("text", r"(?<![A-Z])(?<=[.!?])\s+(?=[A-Z])").alias("sentences"))

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lineage, organisms, reactions
+from ..functions import phrases
+from ..operators import lineage, organisms, reactions, relations, sentences
 from . import dialect
 
 QUERIES, ORACLE = {}, {}
@@ -189,3 +190,58 @@ def q2(spark, sf_dir):
     names = organisms.dictionary(dialect.run_sql(spark, sf_dir, TAXONOMY))
     ask = lambda df, source: organisms.detect(df, names, source)
     return organisms.cascade(_articles(spark, sf_dir), ["title", "abstract", "body"], ask, "organisms", ignore=F.array(F.lit("yeast"))).select("article", "organisms", "organisms_source")
+
+
+# ---- sentences: an order's lines are the sentences of its text -----------------------------------------------
+
+_SENTENCE = """case when l_discount < 0.02 then concat('Improved production of ', p_name, ' by a new strain.') when l_discount < 0.03 then concat('Converting ', p_name, ' into ', lower(p_type), ' was robust.')
+when l_discount < 0.04 then concat('A novel ', p_name, ' is efficiently produced in vats, which the team saw.') when l_discount < 0.06 then concat('Deletion of gen', textof(l_suppkey), ' increased titer, and gen', textof(l_suppkey % 7), ' was overexpressed which helped.')
+when l_discount < 0.08 then concat('Biosynthesis and production of ', p_name, ' via gen', textof(l_suppkey % 7), ' overexpression (i.e., gen', textof(l_suppkey), ' was deleted) is robust.') else concat('The ', p_name, ' was stored; nothing else.') end"""
+TEXTS = f"""select l_orderkey as article, ajoin(alistby(sentence, place), ' ') as text, min(case when place = 1 then sentence end) as title, ajoin(alistby(case when place > 1 then sentence end, place), ' ') as abstract,
+ordered(aset(alist(concat('gen', textof(l_suppkey))))) as own, ordered(aset(alist(concat('gen', textof(l_suppkey % 7))))) as others
+from (select l_orderkey, l_suppkey, row_number() over (partition by l_orderkey order by {_PLACE}) as place, {_SENTENCE} as sentence from lineitem join part on p_partkey = l_partkey) x group by l_orderkey"""
+STOPS = "a an the in is was were which by via into this that with for from new it".split()
+
+
+def _texts(spark, sf_dir):
+    return dialect.run_sql(spark, sf_dir, TEXTS).withColumn("genes", F.array_union("own", "others"))
+
+
+@query("RST19")
+def rst19(spark, sf_dir):
+    """The relations of each clause that names a gene, from an extractor that sees each distinct clause once."""
+    found = sentences.extract_once(sentences.clauses(_texts(spark, sf_dir), STOPS), relations.actions_near)
+    return found.select("article", "place", "clause", "relations")
+
+
+@query("NLP11")
+def nlp11(spark, sf_dir):
+    """Relations by document and source: title, abstract, the whole text, and title with abstract."""
+    both = F.concat_ws("\n", "title", "abstract")
+    sources = {"Title": F.col("title"), "Abstract": F.col("abstract"), "Text": F.col("text"), "Title_Abstract": both}
+    return sentences.document_relations(_texts(spark, sf_dir), sources, relations.actions_near, STOPS)
+
+
+_ROOTS = ("effic", "improv", "robust", "novel")
+
+
+@query("TOP9")
+def top9(spark, sf_dir):
+    return sentences.with_first_product(_texts(spark, sf_dir), "text", STOPS, roots=_ROOTS).select("article", "product", "n_parts")
+
+
+@query("STR26")
+def str26(spark, sf_dir):
+    """Every text of the corpus, and those of orders, which hold the phrases."""
+    texts = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    texts = texts.unionByName(_texts(spark, sf_dir).select(F.lit("order").alias("kind"), F.col("article").alias("id"), "text"))
+    return texts.select("kind", "id", phrases.production_phrases("text", _ROOTS).alias("plain"))
+
+
+@query("STR28")
+def str28(spark, sf_dir):
+    """Words of the given roots near `production` out, sentence by sentence."""
+    out = phrases.by_sentence(phrases.without_adjectives(_ROOTS))
+    texts = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    texts = texts.unionByName(_texts(spark, sf_dir).select(F.lit("order").alias("kind"), F.col("article").alias("id"), "text"))
+    return texts.select("kind", "id", out(F.col("text")).alias("plain"))
