@@ -1,19 +1,15 @@
-"""Relevance classification: TF-IDF features, base learners, a stacked model, and metrics as plain SQL."""
+"""Relevance classification: TF-IDF features, metrics as plain SQL, and nearest vectors. Learners have a module of their own."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def features(column: str, prefix: str, vocabulary: int = 5000) -> list:
+def features(column: str, prefix: str, vocabulary: int = 1 << 18) -> list:
     return [
         RegexTokenizer(inputCol=column, outputCol=f"{prefix}_words", pattern=r"\w\w+", gaps=False),
         CountVectorizer(inputCol=f"{prefix}_words", outputCol=f"{prefix}_tf", maxDF=0.85, vocabSize=vocabulary),
@@ -22,38 +18,8 @@ def features(column: str, prefix: str, vocabulary: int = 5000) -> list:
     ]
 
 
-def learners(x: str, label: str = "label") -> dict:
-    return {
-        "forest": RandomForestClassifier(featuresCol=x, labelCol=label, numTrees=20, maxDepth=6, seed=0),
-        "multinomial": NaiveBayes(featuresCol=x, labelCol=label),
-        "logistic": LogisticRegression(featuresCol=x, labelCol=label, regParam=0.01),
-    }
-
-
-def stack(train: DataFrame, sources: list[str], label: str = "label", vocabulary: int = 2000):
-    """A function frame -> frame with score: each learner on each source, and a logistic model over their scores."""
-    stages, scores = [], []
-    for s in sources:
-        stages += features(s, s, vocabulary)
-        for name, learner in learners(f"{s}_x", label).items():
-            out = f"{s}_{name}"
-            stages.append(learner.setPredictionCol(f"{out}_label").setProbabilityCol(f"{out}_p").setRawPredictionCol(f"{out}_raw"))
-            scores.append(out)
-    base = Pipeline(stages=stages).fit(train)
-
-    def meta(df: DataFrame) -> DataFrame:
-        out = base.transform(df)
-        return VectorAssembler(inputCols=[f"__{c}" for c in scores], outputCol="__meta").transform(out.select("*", *[vector_to_array(f"{c}_p")[1].alias(f"__{c}") for c in scores]))
-
-    top = LogisticRegression(featuresCol="__meta", labelCol=label, probabilityCol="__score", predictionCol="predicted", rawPredictionCol="__raw").fit(meta(train))
-    return lambda df: top.transform(meta(df)).select(*df.columns, vector_to_array("__score")[1].alias("score"), F.col("predicted").cast("int").alias("predicted"))
-
-
-def search(train: DataFrame, column: str, label: str = "label", folds: int = 5):
-    """The best regularisation of a logistic model by cross-validation, as a fitted pipeline."""
-    last = LogisticRegression(featuresCol=f"{column}_x", labelCol=label)
-    grid = ParamGridBuilder().addGrid(last.regParam, [0.001, 0.01, 0.1]).build()
-    return CrossValidator(estimator=Pipeline(stages=[*features(column, column), last]), estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="f1"), numFolds=folds, seed=0).fit(train)
+def logistic(x: str, label: str = "label") -> LogisticRegression:
+    return LogisticRegression(featuresCol=x, labelCol=label, regParam=0.01)
 
 
 def metrics(df: DataFrame, label: str, predicted: str) -> DataFrame:

@@ -460,7 +460,7 @@ def q4(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.substring("text", 1, 60).alias("title"), F.col("toxic").cast("double").alias("label"))
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("toxic").cast("double").alias("label"))
 
 
 @query("ML1")
@@ -468,20 +468,7 @@ def ml1(spark, sf_dir):
     from pyspark.ml import Pipeline
 
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return Pipeline(stages=classify.features("text", "t", 1000)).fit(d).transform(d).select("doc_id", F.col("t_x").cast("string").alias("vector"))
-
-
-@query("ML3")
-def ml3(spark, sf_dir):
-    fitted = classify.search(_labelled(spark, sf_dir), "text", folds=2)
-    return spark.createDataFrame([(i, float(m)) for i, m in enumerate(fitted.avgMetrics)], "grid int, f1 double")
-
-
-@query("ML6")
-def ml6(spark, sf_dir):
-    d = _labelled(spark, sf_dir)
-    out = classify.stack(d.where("doc_id % 5 <> 0"), ["title", "text"], vocabulary=500)(d)
-    return out.select("doc_id", "score", "predicted")
+    return Pipeline(stages=classify.features("text", "t")).fit(d).transform(d).select("doc_id", F.col("t_x").cast("string").alias("vector"))
 
 
 @query("ML8")
@@ -489,7 +476,7 @@ def ml8(spark, sf_dir):
     from pyspark.ml import Pipeline
 
     d = _labelled(spark, sf_dir)
-    fitted = Pipeline(stages=[*classify.features("text", "text", 1000), classify.learners("text_x")["logistic"]]).fit(d)
+    fitted = Pipeline(stages=[*classify.features("text", "text"), classify.logistic("text_x")]).fit(d)
     weights = sorted(zip(fitted.stages[1].vocabulary, fitted.stages[-1].coefficients.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
     return spark.createDataFrame([*weights[:20], *weights[-20:]], "word string, weight double")
 

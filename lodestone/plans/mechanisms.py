@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import phrases
-from ..operators import lineage, organisms, reactions, relations, sentences
+from ..operators import learners, lineage, organisms, reactions, relations, sentences
 from . import dialect
 
 QUERIES, ORACLE = {}, {}
@@ -245,3 +245,75 @@ def str28(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     texts = texts.unionByName(_texts(spark, sf_dir).select(F.lit("order").alias("kind"), F.col("article").alias("id"), "text"))
     return texts.select("kind", "id", out(F.col("text")).alias("plain"))
+
+
+# ---- learners: which documents are toxic, by their words -------------------------------------------------
+
+
+def _labelled(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("label"))
+    fold = F.when(learners.held_out(F.col("doc_id")), F.lit(learners.UNSEEN)).otherwise(learners.folds_of(F.col("doc_id")))
+    return d.withColumn("fold", fold)
+
+
+_NB = {"multinomial": {"alpha": (0.1, 1.0, 21.0), "prior": ("data", "even", "0.3,0.7", "0.2,0.8", "0.5,0.5")}, "bernoulli": {"alpha": (0.1, 1.0, 10.0), "binarize": (0.0, 0.5, 1.0), "prior": ("data", "even", "0.3,0.7", "0.2,0.8", "0.5,0.5")}}
+_NB_SQL = r"""with d as (select doc_id, text, toxic as label, doc_id % 5 as fold from documents join labels using (doc_id) where (doc_id // 5) % 5 <> 0),
+w as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '\w\w+')) as term from d), t as (select doc_id, term, count(*) x from w group by doc_id, term),
+v as (select term from t group by term having count(*) <= 0.85 * (select count(*) from d)),
+k as (select t.doc_id, d.fold, d.label, t.term, t.x from t join v using (term) join d using (doc_id)),
+f as (select distinct fold as f from d), n as (select f, count(*) filter (where label = 0) n0, count(*) filter (where label = 1) n1 from d join f on fold <> f group by f),
+a as (select 'multinomial' as learner, alpha, null::double as b from (values (0.1), (1.0), (21.0)) q(alpha) union all select 'bernoulli', alpha, b from (values (0.1), (1.0), (10.0)) q(alpha), (values (0.0), (0.5), (1.0)) r(b)),
+mass as (select f, b, term, sum(case when label = 0 then y else 0 end) m0, sum(case when label = 1 then y else 0 end) m1 from (
+  select f, k.term, k.label, u.b, case when k.fold = f then 0 when u.b is null then x when x > u.b then 1 else 0 end as y from k, f, (select distinct b from a) u) group by f, b, term),
+tot as (select f, b, sum(m0) all0, sum(m1) all1, count(*) as nv from mass group by f, b),
+wt as (select m.f, m.term, a.learner, a.alpha::double alpha, a.b, case when a.b is null then ln((m1 + a.alpha) / (all1 + a.alpha * nv)) - ln((m0 + a.alpha) / (all0 + a.alpha * nv)) else
+  ln((m1 + a.alpha) / (n1 + 2 * a.alpha)) - ln(1 - (m1 + a.alpha) / (n1 + 2 * a.alpha)) - ln((m0 + a.alpha) / (n0 + 2 * a.alpha)) + ln(1 - (m0 + a.alpha) / (n0 + 2 * a.alpha)) end as w,
+  case when a.b is not null then ln(1 - (m1 + a.alpha) / (n1 + 2 * a.alpha)) - ln(1 - (m0 + a.alpha) / (n0 + 2 * a.alpha)) else 0 end as c
+  from mass m join tot on tot.f = m.f and tot.b is not distinct from m.b join n on n.f = m.f join a on a.b is not distinct from m.b),
+c as (select f, learner, alpha, b, sum(c) c from wt group by all),
+s as (select k.doc_id, wt.learner, wt.alpha, wt.b, sum(case when wt.b is null then x when x > wt.b then 1 else 0 end * w) s from k join wt on wt.term = k.term and wt.f = k.fold group by all),
+m as (select d.doc_id, d.fold, d.label, c.learner, c.alpha, c.b, coalesce(s.s, 0) + c.c as margin from d join c on c.f = d.fold left join s on s.doc_id = d.doc_id and s.learner = c.learner and s.alpha = c.alpha and s.b is not distinct from c.b),
+p as (select m.*, q.prior, margin + case q.prior when 'data' then ln(n1 / n0) when '0.3,0.7' then ln(0.7 / 0.3) when '0.2,0.8' then ln(0.8 / 0.2) else 0 end > 0 as told
+  from m join n on n.f = m.fold, (values ('data'), ('even'), ('0.3,0.7'), ('0.2,0.8'), ('0.5,0.5')) q(prior)),
+g as (select learner, alpha, b, prior, fold, avg(case when told = (label = 1) then 1.0 else 0.0 end) acc from p group by all)
+select learner, 'alpha=' || regexp_replace(alpha::varchar, '\.0$', '') || ',prior=' || prior || case when b is not null then ',binarize=' || regexp_replace(b::double::varchar, '\.0$', '') else '' end as params, round(avg(acc), 9) as accuracy from g group by learner, alpha, b, prior"""
+
+
+@query("ML3B", _NB_SQL)
+def ml3b(spark, sf_dir):
+    """The whole grid of both kinds of naive Bayes, on the four fifths that are learnt from."""
+    return learners.bayes_search(_labelled(spark, sf_dir).where(F.col("fold") != learners.UNSEEN), "text")
+
+
+@query("ML3")
+def ml3(spark, sf_dir):
+    """The grids of naive Bayes and of the linear margin learner, in five folds of four fifths of the rows."""
+    d = _labelled(spark, sf_dir).where(F.col("fold") != learners.UNSEEN)
+    return learners.bayes_search(d, "text").unionByName(learners.margin_search(d, "text", "svc", max_iter=10))
+
+
+@query("ML2")
+def ml2(spark, sf_dir):
+    """Each learner, fitted on four fifths of the rows and held against the last."""
+    d = _labelled(spark, sf_dir)
+    rows = d.select("doc_id", "fold", "label")
+    settings = [learners.Bayes("multinomial", 1.0), learners.Bayes("bernoulli", 1.0)]
+    told = learners.bayes_margins(rows, learners.term_counts(d, "text"), settings).where(F.col("fold") == learners.UNSEEN)
+    out = None
+    for s in settings:
+        own = learners.evaluate(told.select("label", (F.col(s.name) + learners.prior_odds("data") > 0).cast("int").alias("predicted"))).withColumn("learner", F.lit(s.kind))
+        out = own if out is None else out.unionByName(own)
+    x = learners.vectors("text", "x").fit(d.where(F.col("fold") != learners.UNSEEN)).transform(d)
+    for m in (learners.Margin("svc"), learners.Margin("logistic"), learners.Margin("forest", {"n_estimators": 100})):
+        t = m.margin(m.fit(x.where(F.col("fold") != learners.UNSEEN), "x"), x.where(F.col("fold") == learners.UNSEEN), "m")
+        out = out.unionByName(learners.evaluate(t.select("label", (F.col("m") > 0).cast("int").alias("predicted"))).withColumn("learner", F.lit(m.kind)))
+    return out
+
+
+@query("ML6")
+def ml6(spark, sf_dir):
+    """Two kinds of naive Bayes and a linear margin learner on title, body and both, stacked out of fold."""
+    parts = F.split("text", "\n", 2)
+    sources = {"title": F.get(parts, F.lit(0)), "body": F.get(parts, F.lit(1)), "both": F.col("text")}
+    bayes = [learners.Bayes("multinomial", 1.0), learners.Bayes("bernoulli", 1.0)]
+    return learners.stack(_labelled(spark, sf_dir), sources, bayes, [learners.Margin("svc", {"max_iter": 10})])
