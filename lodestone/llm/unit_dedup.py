@@ -1,4 +1,4 @@
-"""Substring dedup by line or paragraph hashing.
+"""Substring dedup by hashing lines, paragraphs or sentences.
 
 Every unit is normalised (compatibility forms, case, white space, punctuation at
 its ends) and hashed to 128 bits. The digests are grouped over the corpus; the occurrence that ranks first,
@@ -19,7 +19,7 @@ from . import common as C
 
 NO_ID = (1 << 63) - 1  # stands for a null id, so that rows without one rank last
 
-_SPLIT = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
+_SPLIT = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*"), "sentence": re.compile(r"\n|(?<=[.!?])[^\S\n]+|(?<=[。！？])")}
 _ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -41,10 +41,27 @@ def units(text: str, kind: str):
     yield at, len(text)
 
 
-def remove_repeats(docs: DataFrame, kind: str = "line", min_words: int = 1) -> DataFrame:
+def passages(text: str, every: list, lost: set, min_run: int) -> set:
+    """Those of the lost units that lie in runs of min_run words or more."""
+    out, run, words = set(), [], 0
+    for u in [*every, None]:
+        plain = normalise(text[u[0] : u[1]]) if u else ""
+        if u in lost:
+            run.append(u)
+            words += n_words(plain)
+        elif plain or u is None:
+            if words >= min_run:
+                out.update(run)
+            run, words = [], 0
+    return out
+
+
+def remove_repeats(docs: DataFrame, kind: str = "line", min_words: int = 1, min_run: int = 1) -> DataFrame:
     """Per row of docs: doc_id, n_units, n_removed, n_chars (that stay), n_chars_in, spans (original offsets), text (what stays).
 
-    Units of fewer than min_words words (see n_words), and those without a letter or digit, always stay. A removed unit takes the break behind it along (at the
+    Units of fewer than min_words words (see n_words), and those without a letter or digit, always stay. With min_run,
+    what goes is passages: runs of units one behind the other (those without a letter or digit don't part them), each a
+    later occurrence, of min_run words together; a lone heading or refrain within own text stays. A removed unit takes the break behind it along (at the
     end of the text, the break before it). Null text is empty. Equal rows of one id are one occurrence: they
     keep and lose the same units; different texts under one id rank by their place. Rows without an id rank last;
     those of the same text count as one occurrence too. An empty table gives an empty result.
@@ -89,6 +106,8 @@ def remove_repeats(docs: DataFrame, kind: str = "line", min_words: int = 1) -> D
                 for text, drop in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     lost = {(g["start"], g["end"]) for g in drop or []}
                     every = list(units(text, kind))
+                    if min_run > 1 and lost:
+                        lost = passages(text, every, lost, min_run)
                     cut = [[a, b] for a, b in every if (a, b) in lost]
                     # a unit goes with the break behind it, up to where the next begins
                     stop = [a for a, _ in every[1:]] + [len(text)]
