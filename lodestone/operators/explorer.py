@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scratch
+
 PAGE = 20
 
 
@@ -120,3 +122,31 @@ def top_labels(found: DataFrame, column: str, k: int = 5) -> DataFrame:
 def direction_counts(found: DataFrame, known: tuple[str, ...] = ("Positive", "Negative", "Other")) -> DataFrame:
     each = found.select(F.explode("genes").alias("g")).select(F.explode("g.directions").alias("d"))
     return each.agg(*[F.count_if(F.col("d") == d).alias(d.lower()) for d in known])
+
+
+@dataclass
+class Insights:
+    """What is shown beside a page: all from one reading of the source."""
+
+    count: int
+    directions: dict[str, int]
+    page: DataFrame
+    organisms: DataFrame
+    products: DataFrame
+
+
+def insights(view: DataFrame, request: Request, known: tuple[str, ...] = ("Positive", "Negative", "Other")) -> Insights:
+    """Count, histogram of directions, page and top labels of the records that match.
+
+    The source is read once, when the matches are written to the shared folder: count and histogram are observed as
+    they pass, and page and labels then read the matches alone, without the texts that searching looks at.
+    """
+    found = matches(view, request)
+    seen = Observation()
+    way = lambda d: F.sum(F.aggregate("genes", F.lit(0).cast("long"), lambda s, g: s + F.size(F.filter(g["directions"], lambda x: x == d)))).alias(d)
+    watched = found.observe(seen, F.count(F.lit(1)).alias("n"), *[way(d) for d in known])
+    own = scratch.written(watched.select(*[c for c in watched.columns if not c.startswith("_") or c == "_title"]))
+    told = seen.get
+    at = min(max(1, request.page), max(1, -(-told["n"] // PAGE)))
+    page_ = own.orderBy(*order(request)).limit(at * PAGE).offset((at - 1) * PAGE)
+    return Insights(told["n"], {d: told[d] or 0 for d in known}, page_, top_labels(own, "organisms"), top_labels(own, "products"))

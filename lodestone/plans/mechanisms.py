@@ -5,10 +5,11 @@ Their oracles are written apart from the operators, from the rules.
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import phrases
-from ..operators import learners, lineage, organisms, reactions, relations, sentences
+from ..operators import explorer, learners, lineage, organisms, publish, reactions, relations, scratch, sentences
 from . import dialect
 
 QUERIES, ORACLE = {}, {}
@@ -317,3 +318,79 @@ def ml6(spark, sf_dir):
     sources = {"title": F.get(parts, F.lit(0)), "body": F.get(parts, F.lit(1)), "both": F.col("text")}
     bayes = [learners.Bayes("multinomial", 1.0), learners.Bayes("bernoulli", 1.0)]
     return learners.stack(_labelled(spark, sf_dir), sources, bayes, [learners.Margin("svc", {"max_iter": 10})])
+
+
+# ---- publishing and exploring -----------------------------------------------------------------------------
+
+_WAY = "case doc_id % 3 when 0 then 'Positive' when 1 then 'Negative' else 'Odd' end"
+_SOURCE = f"""select textof(doc_id) as pmid, case when ordinal(text, chr(10)) > 0 then substr(text, 1, ordinal(text, chr(10)) - 1) else text end as title, 1990 + n_chars % 30 as year,
+concat(coalesce(lang, ''), ', ', coalesce(source, ''), ',', upper(coalesce(lang, ''))) as organism, case when doc_id % 4 = 0 then '' when doc_id % 4 = 1 then coalesce(source, '') else concat(coalesce(source, ''), ', x') end as product,
+concat('{{', chr(34), 'g', textof(doc_id % 7), chr(34), ': ', chr(34), {_WAY}, ',Negative', chr(34), ', ', chr(34), 'h', chr(34), ': [', chr(34), 'Other', chr(34), ']}}') as genes from documents"""
+
+
+def _published(spark, sf_dir):
+    folder = scratch.folder(spark)
+    rows = dialect.run_sql(spark, sf_dir, _SOURCE)
+    names = dict(zip(rows.columns, publish.REQUIRED, strict=True))
+    rows.select(*[F.col(a).cast("string").alias(b) for a, b in names.items()]).write.option("header", True).option("sep", ";").option("escape", '"').csv(f"{folder}/published.csv")
+    publish.publish(spark, f"{folder}/published.csv", f"{folder}/out")
+    record = "pmid string, title string, year int, organism string, organisms array<string>, product string, products array<string>, genes array<struct<name: string, directions: array<string>>>"
+    meta = "recordCount long, organismCount long, productCount long, geneCount long, minYear int, maxYear int, organismSuggestions array<string>, productSuggestions array<string>, geneSuggestions array<string>"
+    return publish.current(spark, f"{folder}/out", "records", record), publish.current(spark, f"{folder}/out", "meta", meta)
+
+
+_RECORDS = f"""(select pmid, trim(coalesce(title, '')) as title, year, trim(organism) as organism, list_filter([trim(x) for x in string_split(organism, ',')], lambda x: x <> '') as o0, trim(product) as product,
+[struct_pack(name := 'g' || (pmid::bigint % 7), directions := case pmid::bigint % 3 when 0 then ['Positive', 'Negative'] when 1 then ['Negative'] else ['Other', 'Negative'] end), struct_pack(name := 'h', directions := ['Other'])] as genes
+from ({dialect.duck_text(_SOURCE)}) s)"""
+_RECORDS = f"(select *, list_filter(o0, lambda x, i: list_position([lower(y) for y in o0], lower(x)) = i) as organisms, case when product = '' then []::varchar[] when contains(product, ',') then list_distinct([product] || list_filter([trim(x) for x in string_split(product, ',')], lambda x: x <> '')) else [product] end as products from {_RECORDS} r)"
+
+
+@query("Q9B", f"select pmid, title, year, organism, case when len(organisms) = 0 then [organism] else organisms end as organisms, product, list_sort(products) as products, [g.name || '=' || array_to_string(g.directions, '+') for g in genes] as genes from {_RECORDS} x")
+def q9b(spark, sf_dir):
+    """The records as published and read back."""
+    found, _ = _published(spark, sf_dir)
+    genes = F.transform("genes", lambda g: F.concat(g["name"], F.lit("="), F.array_join(g["directions"], "+")))
+    return found.select("pmid", "title", "year", "organism", "organisms", "product", F.array_sort("products").alias("products"), genes.alias("genes"))
+
+
+_TOP = "(select list(k order by n desc, lower(k), k) from (select k, count(*) n from (select unnest({0}) as k from {1} x) group by k order by n desc, lower(k), k limit 300))"
+
+
+@query(
+    "Q9C",
+    f"""with r as {_RECORDS} select count(*) as recordCount, min(year) as minYear, max(year) as maxYear, (select count(distinct o) from (select unnest(organisms) o from r)) as organismCount,
+    count(distinct product) filter (where product <> '') as productCount, (select count(distinct g) from (select unnest([x.name for x in genes]) g from r)) as geneCount,
+    {_TOP.format('organisms', 'r')} as organismSuggestions, {_TOP.format("case when product <> '' then [product] else [] end", 'r')} as productSuggestions, {_TOP.format('[y.name for y in genes]', 'r')} as geneSuggestions from r""",
+)
+def q9c(spark, sf_dir):
+    """The meta document that is published with the records."""
+    return _published(spark, sf_dir)[1]
+
+
+_ASKED = explorer.Request(query="a", first=2015, last=1995)
+_EXPLORED = "select doc_id as pmid, string_split(text, chr(10))[1] as title, 1990 + n_chars % 30 as year, list_filter([lang, source], lambda x: x is not null) as organisms, list_filter([source], lambda x: x is not null) as products, 'g' || (doc_id % 7) as gene, case doc_id % 3 when 0 then 'Positive' when 1 then 'Negative' else 'Other' end as way from documents"
+_PANEL = "select '{0}' as panel, row_number() over (order by n desc, k) as place, k as label, n from (select lower(trim(v)) k, count(distinct pmid) n from (select pmid, unnest({0}s) as v from f) group by lower(trim(v))) qualify place <= 5"
+
+
+@query(
+    "Q10B",
+    f"""with f as (select * from ({_EXPLORED}) r where contains(lower(concat_ws(' ', pmid::varchar, title, array_to_string(organisms, ' '), array_to_string(products, ' '), gene)), 'a') and year between 1995 and 2015)
+    select 'count' as panel, 0 as place, null as label, count(*) as n from f union all select 'direction', 0, w, count(way) from (values ('Positive'), ('Negative'), ('Other')) q(w) left join f on way = w group by w
+    union all {_PANEL.format('organism')} union all {_PANEL.format('product')}
+    union all select 'page', row_number() over (order by year desc, lower(title), pmid) as place, pmid::varchar, year from f qualify place <= 20""",
+)
+def q10b(spark, sf_dir):
+    """Every panel of a request: count, page (with years), directions and top labels, from one reading of the documents."""
+    d = table(spark, sf_dir, "documents")
+    way = F.when(F.col("doc_id") % 3 == 0, "Positive").when(F.col("doc_id") % 3 == 1, "Negative").otherwise("Other")
+    r = d.select(
+        F.col("doc_id").alias("pmid"), F.split("text", "\n")[0].alias("title"), (1990 + F.col("n_chars") % 30).alias("year"), F.array_compact(F.array("lang", "source")).alias("organisms"),
+        F.array_compact(F.array("source")).alias("products"), F.array(F.struct(F.concat(F.lit("g"), (F.col("doc_id") % 7).cast("string")).alias("name"), F.array(way).alias("directions"))).alias("genes"),
+    )
+    told = explorer.insights(explorer.search_view(r), _ASKED)
+    rows = [("count", 0, None, told.count), *[("direction", 0, k, n) for k, n in told.directions.items()]]
+    out = spark.createDataFrame(rows, "panel string, place int, label string, n long")
+    place = lambda *by: F.row_number().over(W.orderBy(*by)).alias("place")  # noqa: E731  of a page or five labels
+    for panel, top in (("organism", told.organisms), ("product", told.products)):
+        out = out.unionByName(top.select(F.lit(panel).alias("panel"), place(F.desc("n"), "key"), F.col("key").alias("label"), "n"))
+    return out.unionByName(told.page.select(F.lit("page").alias("panel"), place(*explorer.order(_ASKED)), F.col("pmid").cast("string").alias("label"), F.col("year").cast("long").alias("n")))
