@@ -311,18 +311,6 @@ def set6(spark, sf_dir):
     return table(spark, sf_dir, "part").where("upper(p_type) <> 'X'").select("p_partkey", v.alias("v"))
 
 
-@query("ARR7")
-def arr7(spark, sf_dir):
-    v = F.split(F.concat("p_name", F.lit(" acid acetic acid")), r"(?<=\bacid)\s+")
-    return table(spark, sf_dir, "part").select("p_partkey", v.alias("acids"))
-
-
-@query("ARR8")
-def arr8(spark, sf_dir):
-    v = F.split(F.concat("p_name", F.lit("mycin penicillin")), r"(?<=(?:mycin|cillin))\s+")
-    return table(spark, sf_dir, "part").select("p_partkey", v.alias("antibiotics"))
-
-
 @query("ARR9")
 def arr9(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("w"))

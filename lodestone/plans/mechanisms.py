@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import phrases
+from ..functions import phrases, splitters
 from ..operators import explorer, learners, lineage, organisms, publish, reactions, relations, scratch, sentences
 from . import dialect
 
@@ -394,3 +394,26 @@ def q10b(spark, sf_dir):
     for panel, top in (("organism", told.organisms), ("product", told.products)):
         out = out.unionByName(top.select(F.lit(panel).alias("panel"), place(F.desc("n"), "key"), F.col("key").alias("label"), "n"))
     return out.unionByName(told.page.select(F.lit("page").alias("panel"), place(*explorer.order(_ASKED)), F.col("pmid").cast("string").alias("label"), F.col("year").cast("long").alias("n")))
+
+
+# ---- product lists: what the lines of an order name -------------------------------------------------------
+
+_COLOUR, _THING = "substr(p_name, 1, ordinal(p_name, ' ') - 1)", "substr(p_name, ordinal(p_name, ' ') + 1)"
+_ACID = f"""case when l_discount < 0.02 then concat({_COLOUR}, 'ic acid butyl ', {_THING}, 'ic acid') when l_discount < 0.03 then concat({_COLOUR}, ' acid ', {_THING}, 'ine') when l_discount < 0.04 then concat({_COLOUR}, ' acid (', {_THING}, ') ', {_COLOUR}, '-one')
+when l_discount < 0.05 then concat('fatty acid ', {_THING}, 'yl ', {_COLOUR}) when l_discount < 0.06 then concat({_COLOUR}, ' acid ', {_THING}) when l_discount < 0.07 then concat({_COLOUR}, 'ate ', {_THING}, 'ase ', {_THING}, 'ate') when l_discount < 0.08 then concat({_COLOUR}, 'ate ', {_THING}, ' phosphate') else p_name end"""
+_ANTIBIOTIC = f"""case when l_discount < 0.02 then concat('polyketide antibiotic ', {_COLOUR}, 'in') when l_discount < 0.04 then concat({_THING}, ' antibiotics (', {_COLOUR}, ') ', {_THING}, 'in and anti-parasitic ', {_COLOUR}, 'in dose')
+when l_discount < 0.05 then 'antibiotic resistance' when l_discount < 0.06 then 'Macrolide antibiotics' when l_discount < 0.07 then concat({_COLOUR}, ' antibiotic') else p_name end"""
+
+
+def _lists(spark, sf_dir, element):
+    return dialect.run_sql(spark, sf_dir, f"select l_orderkey as article, alistby({element}, l_linenumber) as names from lineitem join part on p_partkey = l_partkey group by l_orderkey")
+
+
+@query("ARR7")
+def arr7(spark, sf_dir):
+    return _lists(spark, sf_dir, _ACID).select("article", F.array_sort(splitters.split_acids(F.col("names"))).alias("names"))
+
+
+@query("ARR8")
+def arr8(spark, sf_dir):
+    return _lists(spark, sf_dir, _ANTIBIOTIC).select("article", F.array_sort(splitters.split_antibiotics(F.col("names"))).alias("names"))
