@@ -147,20 +147,18 @@ def str11(spark, sf_dir):
 
 @query("WIN3", "select o_orderkey, row_number() over (order by o_orderstatus, o_totalprice desc, o_orderkey) as place from orders")
 def win3(spark, sf_dir):
-    # a status is one letter and no price comes near 1e12
-    measure = F.ascii("o_orderstatus") * 1e12 - F.col("o_totalprice")
-    return ranking.numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), measure, [F.col("o_orderstatus"), F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "place")
+    return ranking.numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), [F.col("o_orderstatus"), F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "place")
 
 
 @query("AGG19", "select o_orderkey, (row_number() over (order by o_orderkey) - 1) // 500 as batch from orders")
 def agg19(spark, sf_dir):
-    o = ranking.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("o_orderkey"), [F.col("o_orderkey")])
+    o = ranking.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), [F.col("o_orderkey")])
     return o.select("o_orderkey", F.expr("(place - 1) div 500").alias("batch"))
 
 
 @query("AGG20", "select batch, list(c_custkey order by c_custkey) as ids from (select c_custkey, (row_number() over (order by c_custkey) - 1) // 100 as batch from customer) x group by batch")
 def agg20(spark, sf_dir):
-    c = ranking.numbered(table(spark, sf_dir, "customer").select("c_custkey"), F.col("c_custkey"), [F.col("c_custkey")])
+    c = ranking.numbered(table(spark, sf_dir, "customer").select("c_custkey"), [F.col("c_custkey")])
     return c.groupBy(F.expr("(place - 1) div 100").alias("batch")).agg(F.array_sort(F.collect_list("c_custkey")).alias("ids"))
 
 
@@ -168,12 +166,11 @@ def agg20(spark, sf_dir):
 def top7(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     page = F.lit(min(7, max(1, -(-d.count() // 20))))
-    placed = ranking.numbered(d, -F.col("n_chars"), [F.desc("n_chars"), F.col("doc_id")])
+    placed = ranking.numbered(d, [F.desc("n_chars"), F.col("doc_id")])
     return placed.withColumn("page", F.expr("(place - 1) div 20 + 1")).where(F.col("page") == page).select("doc_id", "page")
 
 
 _ORDERS = {"year-desc": "year desc, lower(title), pmid", "year-asc": "year, lower(title), pmid", "title": "lower(title), pmid", "relevance": f"{_SCORE} desc, year desc, pmid"}
-_FIRST_BYTES = "coalesce(ascii(substr(_title, 1, 1)), 0)"
 
 
 @query("TOP5", " union all ".join(f"select '{m}' as sort, pmid, row_number() over (order by {o}) as place from ({_FOUND}) x" for m, o in _ORDERS.items()))
@@ -181,10 +178,8 @@ def top5(spark, sf_dir):
     from dataclasses import replace
 
     found = explorer.matches(explorer.search_view(records(spark, sf_dir)), REQUEST)
-    # titles rise with their first character, which is measure enough to part them
-    measures = {"year-desc": -F.col("year"), "year-asc": F.col("year"), "title": F.expr(_FIRST_BYTES), "relevance": -F.col("score")}
     out = None
-    for sort, measure in measures.items():
-        each = ranking.numbered(found, measure, explorer.order(replace(REQUEST, sort=sort))).select(F.lit(sort).alias("sort"), "pmid", "place")
+    for sort in _ORDERS:
+        each = ranking.numbered(found, explorer.order(replace(REQUEST, sort=sort))).select(F.lit(sort).alias("sort"), "pmid", "place")
         out = each if out is None else out.unionByName(each)
     return out
