@@ -91,7 +91,8 @@ def remove_repeats(docs: DataFrame, kind: str = "line", min_words: int = 1, min_
 
     found = C.materialise(src.select("doc_id", "sig", "text").mapInArrow(hashed, "doc_id long, sig long, start long, end long, high long, low long"), "units")
     place = F.struct("doc_id", "start", "sig")
-    first = found.groupBy("high", "low").agg(F.min(place).alias("keep"), F.max(place).alias("last")).where("keep <> last").drop("last")
+    # a table of its own, so that the join below has a shuffle on both sides and a common unit's rows can be split
+    first = C.materialise(found.groupBy("high", "low").agg(F.min(place).alias("keep"), F.max(place).alias("last")).where("keep <> last").drop("last"), "units-first")
     gone = (
         found.join(first, ["high", "low"])
         .where(F.struct("doc_id", "start", "sig") != F.col("keep"))
