@@ -105,7 +105,10 @@ UNITS = [
     (r"units-\(\+\)-(\w+)", r"units $1"),
 ]
 
-CHEMICAL_ENDINGS = "ene ide ane ine ite enol olic aryl ose diol oxyl syl nosid lactone anol cyanin anin celulos anin".split()
+CHEMICAL_ENDINGS = [
+    "ene", "ide", "ane", "ine", "ite", "enol", "olic", "aryl", "ose", "diol", "oxyl", "syl", "nosid", "lactone",
+    "anol", "cyanin", "anin", "celulos", "anin",
+]
 
 PHRASES = [
     (r"\bthe sigma factor\b", "the"),

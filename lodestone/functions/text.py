@@ -53,8 +53,13 @@ def vowel_stem(word: Column) -> Column:
 
 
 #: Words that say nothing about a modification, and verbs that are stems already.
-FILLERS = "was were is are be been being the a an in or and for of when both with further its to would gene".split()
-WHOLE = "block coexpress express mutant knock repress disrupt not engineer lack insert".split()
+FILLERS = [
+    "was", "were", "is", "are", "be", "been", "being", "the", "a", "an", "in", "or", "and", "for", "of", "when",
+    "both", "with", "further", "its", "to", "would", "gene",
+]
+WHOLE = [
+    "block", "coexpress", "express", "mutant", "knock", "repress", "disrupt", "not", "engineer", "lack", "insert",
+]
 
 
 def modification_stem(phrase: Column) -> Column:

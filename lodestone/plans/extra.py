@@ -323,11 +323,6 @@ def arr6(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", products.cleaned(F.array("p_brand"), ["brand#1"])[0]["reason"].alias("reason"))
 
 
-@query("RST20")
-def rst20(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(F.concat("p_name", F.lit("ase gene (abcD)")), r"(\w+ase) gene \((\w+)\)", "$2").alias("name"))
-
-
 @query("RST34")
 def rst34(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([a-z]{3}[A-Z])\b"), 1)).alias("genes"))

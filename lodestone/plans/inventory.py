@@ -93,7 +93,6 @@ SQL = {
     "STR17": "select c_custkey, rx(c_name, '^[Custome#0]+', '') as id from customer",
     "STR21": "select p_partkey, rx(rx(rx(concat(p_name, ' acid'), 'ic acid$', 'ate'), ' acid$', 'ate'), 'amino$', 'amino acid') as name from part",
     "STR22": "select p_partkey, fl(tr(ssplit(p_name, ' '), w -> replace(w, 'small', '')), w -> w <> '') as words from part",
-    "STR32": "select doc_id, length(rx(rx(lower(text), ' of the ', ' '), '([a-z]+)ion ([a-z]+)', '$1 $2')) as n from documents where false",
     "STR38": "select doc_id, ajoin(fl(ssplit(rx(lower(text), '[^a-z ]', ''), ' '), w -> length(w) > 2), ' ') as words from documents",
     "STR39": "select p_partkey, rx(rx(lower(p_name), '\\bsmall ring\\b', 'ringlet'), '\\bsmall\\b', 'little') as name from part",
     "STR40": "select doc_id, rx(lower(text), '\\b(the|and|with)e?s?d?i?n?g?\\b', '') as kept from documents",
@@ -159,5 +158,4 @@ SQL = {
     "RST41": "select lo, hi, seq(lo, hi) as years from (select 1990 + min(r_regionkey) as lo, 1990 + max(r_regionkey) as hi from region) x",
     "RST42": "select c_custkey, ajoin(fl(array(case when c_nationkey > 3 then concat('n=', textof(c_nationkey)) else '' end, concat('s=', lower(c_mktsegment))), x -> x <> ''), '&') as state from customer",
 }
-SQL.pop("STR32")
 SQL = {k: v.replace("SUB", "%IDX") for k, v in SQL.items()}

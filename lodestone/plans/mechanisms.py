@@ -417,3 +417,20 @@ def arr7(spark, sf_dir):
 @query("ARR8")
 def arr8(spark, sf_dir):
     return _lists(spark, sf_dir, _ANTIBIOTIC).select("article", F.array_sort(splitters.split_antibiotics(F.col("names"))).alias("names"))
+
+
+# ---- phrases about genes ----------------------------------------------------------------------------------
+
+_GENE_PHRASE = f"""case when l_tax < 0.02 then concat('the very new ', {_THING}, 'ase gene (', {_COLOUR}, 'A) and ', {_COLOUR}, 'ase gene (', {_THING}, 'B) grew') when l_tax < 0.03 then concat('genes of ', p_name, ' (', {_COLOUR}, 'A) and its ', {_THING}, ' (', {_THING}, 'B)')
+when l_tax < 0.04 then concat('gene of ', p_name, ' (', {_COLOUR}, 'A)') when l_tax < 0.05 then concat('the ', p_name, 'ase (', {_COLOUR}, 'C) gene') when l_tax < 0.06 then concat('the ', {_THING}, 'ase genes') else p_name end"""
+_GENE_TEXTS = f"select l_orderkey, l_linenumber, l_partkey, {_GENE_PHRASE} as phrase from lineitem join part on p_partkey = l_partkey"
+
+
+@query(
+    "RST20",
+    f"""select l_orderkey, l_linenumber, l_partkey, case when l_tax < 0.02 then 'the ' || c || 'A gene and ' || t || 'B gene grew' when l_tax < 0.03 then 'genes of ' || c || 'A and ' || t || 'B' when l_tax < 0.04 then 'genes of ' || c || 'A'
+    when l_tax < 0.05 then 'the ' || c || 'C gene' when l_tax < 0.06 then 'the genes' else c || ' ' || t end as phrase
+    from (select *, split_part(p_name, ' ', 1) c, split_part(p_name, ' ', 2) t from lineitem join part on p_partkey = l_partkey) x""",
+)
+def rst20(spark, sf_dir):
+    return dialect.run_sql(spark, sf_dir, _GENE_TEXTS).withColumn("phrase", phrases.gene_phrases(F.col("phrase")))
