@@ -3,8 +3,8 @@
 Markup is stripped into lines, one for each block of text, in page order. A line's weight is its text length
 without what stands in links. Sums over sliding windows of `width` lines rise at a surge point and fall at a
 dive point; the lines between hold the main text, in every such stretch. Before that, elements that can't hold main text (scripts,
-styles, forms, navigation, headers, footers, sidebars, adverts, notices, comments, by tag, role or class)
-give no lines. Where the page marks its article, its lines are taken whole, unless text outside outweighs it.
+styles, forms, navigation, headers, footers, sidebars, adverts, notices, comments, by tag, role or name)
+give no lines; a name doesn't count against what holds more than half of a page's text. Where the page marks its article, its lines are taken whole, unless text outside outweighs it.
 
 Per page: white space inside a line becomes one blank, lines are joined by a newline. Null or empty html, or
 html without text, gives an empty text. Broken markup never fails: an unclosed skipped element ends with
@@ -28,12 +28,14 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _BLOCK = {"address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | _SKIP
 _CLOSES_P = _BLOCK - {"li", "td", "th", "tr", "dd", "dt", "tbody", "thead", "tfoot"}
 _ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar", "note"}
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion|s)?|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|"
-    r"foot(?:er)?|header|masthead|comments?|replies|reply|disqus|respond|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|"
-    r"signup|login|share|sharing|social|related|recommend(?:ed|ations?)?|widgets?|pagination|pager|toolbar|tags?|copyright|legal|disclaimer|skip|search)(?:$|[\s_-])",
+# names of which a part tells (cookie-banner, site-footer), and names that tell only as a whole token (legal, but not legal-analysis)
+_BAD_PART = re.compile(
+    r"(?:^|[_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|foot(?:er)?|masthead|comments?|disqus|"
+    r"cookies?|consent|gdpr|popups?|modal|newsletter|subscribe|subscription|share|sharing|social|related|recommend(?:ed|ations?)?|widgets?|pagination|pager)(?:$|[_-])",
     re.I,
 )
+_BAD_WHOLE = {"side", "header", "site-header", "page-header", "main-header", "top-header", "replies", "reply", "respond", "notice", "notices", "site-notice", "alert", "alerts", "overlay", "promotion", "signup", "login", "toolbar", "tags", "copyright", "legal", "disclaimer", "skip", "skip-link", "search", "search-form", "searchbox"}
+_PAIRS = {"li": ("li",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 _SPACE = re.compile(r"\s+")
 
 
@@ -41,42 +43,65 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)}
 
 
-def _unwanted(tag: str, attrs: str, inside_main: bool) -> bool:
+def _unwanted(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool]:
+    """Whether an element can't hold main text by its tag, role or style, and whether its names speak against it."""
     if tag in _SKIP and not (tag in ("header", "figure") and inside_main):
-        return True
+        return True, False
     if not attrs.strip():
-        return False
+        return False, False
     a = _attributes(attrs)
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in _ROLE or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-        return True
-    return tag not in ("html", "body", "article", "main") and bool(_BAD.search(a.get("class", "")) or _BAD.search(a.get("id", "")))
+        return True, False
+    names = [*a.get("class", "").split(), a.get("id", "").strip()]
+    return False, tag not in ("html", "body", "article", "main") and any(_BAD_PART.search(x) or x.lower() in _BAD_WHOLE for x in names)
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length outside links, whether in the page's article) of every block, in page order."""
-    out, text, linked, where = [], [], 0, False
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are skipped
+    """(text, length outside links, whether in the page's article) of every block, in page order.
+
+    What stands in elements whose names speak against them is left out, but not where such an element holds more than
+    half of the page's text outside links: then its name says something else.
+    """
+    out, text, linked = [], [], 0
+    stack: list[tuple[str, bool, bool]] = []  # open elements, whether they are skipped, whether by name
+    blocks: list[int] = []  # places in the stack of open blocks
+    inline: list[dict[str, int]] = [{}]  # open inline elements by name, since each open block
+    opened: dict[str, int] = {}  # open blocks by name
+    named: list[int] = []  # numbers of the open elements that are left out by name
+    weights: list[int] = []  # text outside links in each of them
     skipped = links = mains = 0
-    raw = None
 
     def flush():
         nonlocal linked
         line = _SPACE.sub(" ", "".join(text)).strip()
         if line:
-            out.append((line, max(0, len(line) - linked), mains > 0))
+            weight = max(0, len(line) - linked)
+            out.append((line, weight, mains > 0, tuple(named)))
+            for x in named:
+                weights[x] += weight
         text.clear()
         linked = 0
 
     def close(upto: int):
         nonlocal skipped, links, mains
         while len(stack) > upto:
-            tag, skip = stack.pop()
+            tag, skip, name = stack.pop()
             if tag in _BLOCK:
-                if not skipped:
-                    flush()
+                blocks.pop()
+                inline.pop()
+                opened[tag] -= 1
+            else:
+                inline[-1][tag] -= 1
+            if (tag in _BLOCK or name) and not skipped:
+                flush()
             skipped -= skip
             links -= tag == "a"
             mains -= tag in ("article", "main")
+            if name:
+                named.pop()
+
+    def close_last(tag: str):
+        close(next(d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == tag))
 
     at, n = 0, len(page)
     while at < n:
@@ -92,34 +117,25 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for d in range(len(stack) - 1, -1, -1):
-                if stack[d][0] == tag:
-                    close(d)
-                    break
-                if tag not in _BLOCK and stack[d][0] in _BLOCK:
-                    break  # an inline end tag doesn't close the block around it
-            else:
-                if tag == "p" and not skipped:
-                    flush()
+            # an inline end tag doesn't close the block around it; what an end tag closes is never looked at again
+            if (opened if tag in _BLOCK else inline[-1]).get(tag):
+                close_last(tag)
+            elif tag == "p" and not skipped:
+                flush()
             continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if tag in _CLOSES_P:
-            for d in range(len(stack) - 1, -1, -1):
-                if stack[d][0] == "p":
-                    close(d)
-                    break
-                if stack[d][0] in _BLOCK:
-                    break
-        if tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
-            pair = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(tag, (tag,))
-            for d in range(len(stack) - 1, -1, -1):
+        if tag in _CLOSES_P and blocks and stack[blocks[-1]][0] == "p":
+            close(blocks[-1])
+        if pair := _PAIRS.get(tag):
+            # the one before it in the same list or row, with what stands open in it
+            for d in reversed(blocks[-3:]):
                 if stack[d][0] in pair:
                     close(d)
                     break
-                if stack[d][0] in ("ul", "ol", "table", "dl", "tbody", "div", "article", "body"):
+                if stack[d][0] not in ("p", "td", "th"):
                     break
         if tag in _BLOCK:
             if not skipped:
@@ -128,16 +144,26 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text.append(" ")
         if tag in _VOID or m[3].rstrip().endswith("/") and tag not in _BLOCK:
             continue
-        skip = _unwanted(tag, m[3], mains > 0)
-        if skip and not skipped:
+        skip, name = _unwanted(tag, m[3], mains > 0)
+        if (skip or name) and not skipped:
             flush()
-        stack.append((tag, skip))
+        if name:
+            named.append(len(weights))
+            weights.append(0)
+        if tag in _BLOCK:
+            blocks.append(len(stack))
+            inline.append({})
+            opened[tag] = opened.get(tag, 0) + 1
+        else:
+            inline[-1][tag] = inline[-1].get(tag, 0) + 1
+        stack.append((tag, skip, name))
         skipped += skip
         links += tag == "a"
         mains += tag in ("article", "main")
     close(0)
     flush()
-    return out
+    total = sum(x[1] for x in out)
+    return [x[:3] for x in out if all(2 * weights[k] > total for k in x[3])]
 
 
 def _stretches(weight: np.ndarray, width: int, surge: int) -> list[tuple[int, int]]:
@@ -182,7 +208,12 @@ def extract(page: str | None) -> str:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars (code points) of every row of pages."""
+    """page_id, url, text, n_chars (code points) of every row of pages.
+
+    Every row is a page of its own: null ids stay null, repeated rows give the same text each. Other columns play no
+    part. The time is linear in the page, however deep or broken its markup; a page is one value, in one task. An
+    empty table gives an empty result.
+    """
     import pyarrow as pa
 
     def run(batches):
