@@ -87,7 +87,7 @@ f as (select gene, paper, case when list_has_all(xs, ['LDH_D', 'MDH']) and es in
 last as (select a.*, coalesce(late.label, label) as final from after a join f using (gene, paper) where late is null or late.x = a.ux),
 kept as (select gene, paper, ord, reaction, xref, specific, matches, presence, final, 0 as copy from last
   union all select gene, paper, ord, reaction, 'OHACT1', specific, matches, presence, final, 1 from last where final = 'SPECIAL_FACOAE80_RULE_WITH_OHACT1'),
-o as (select gene, paper, arg_min(final, (copy, ord)) as final, min(ord) as ord from kept group by gene, paper),
+o as (select gene, paper, arg_min(final, (copy, ord)) as final, arg_min(specific, ord) filter (where specific is not null) as specific, arg_min(matches, ord) filter (where matches is not null) as matches, arg_min(presence, ord) filter (where presence is not null) as presence from kept group by gene, paper),
 x as (select gene, paper, xref, min((copy, ord)) as k from kept group by gene, paper, xref),
 xl as (select gene, paper, list(xref order by k) as xrefs from x group by gene, paper),
 r as (select gene, paper, reaction, min((copy, ord)) as k from kept group by gene, paper, reaction),
@@ -96,9 +96,8 @@ ax as (select gene, paper, xref, min(ord) as k from c anti join x using (gene, p
 al as (select gene, paper, list(xref order by k) as alternatives from ax group by gene, paper),
 el as (select gene, paper, list(xref || '=' || es order by xref) as ecs from (select x.gene, x.paper, x.xref, coalesce(string_agg(distinct e, ';' order by e), '') as es
   from x left join (select gene, paper, xref as cx, unnest(ecs) as e from c) c on c.gene = x.gene and c.paper = x.paper and contains(c.cx, x.xref) group by 1, 2, 3) group by 1, 2)
-select o.gene, o.paper, reactions, xrefs, coalesce(alternatives, list_value()) as alternatives, k.specific, k.matches, k.presence, o.final as stage, el.ecs as chosen_ecs
-from o join xl using (gene, paper) join rl using (gene, paper) left join al using (gene, paper) join el using (gene, paper)
-join c k on k.gene = o.gene and k.paper = o.paper and k.ord = o.ord"""
+select o.gene, o.paper, reactions, xrefs, coalesce(alternatives, list_value()) as alternatives, o.specific, o.matches, o.presence, o.final as stage, el.ecs as chosen_ecs
+from o join xl using (gene, paper) join rl using (gene, paper) left join al using (gene, paper) join el using (gene, paper)"""
 
 
 @query("Q7", _CHOSEN)

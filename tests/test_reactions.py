@@ -66,6 +66,13 @@ def test_rules_and_stages(spark):
     assert reactions.choose(spark.createDataFrame([], COLUMNS)).count() == 0
 
 
+def test_values_are_the_first_known_of_what_late_rules_leave(spark):
+    rows = [("yqeF", 1, i, r, x, ["2.3.1.9"], 0, m, p) for i, (r, x, m, p) in enumerate([("r0", "ACACT2r", 7, 0), ("r1", "ACACT1r", 7, None), ("r1", "ACACT1r", 7, 0), ("r2", "ACACT1r", 7, 0)])]
+    df = spark.createDataFrame([(*r, float(i)) for i, r in enumerate(rows)], COLUMNS + ", share double")
+    (one,) = reactions.choose(df, carry=("share",)).collect()
+    assert (one.xrefs, one.reactions, one.matches, one.presence, one.share, one.case) == (["ACACT1r"], ["r1", "r2"], 7, 0, 1.0, "SPECIAL_ACACT1r_RULE")
+
+
 def test_lineage(spark):
     rows = [(i, i - 1 if i % 50 else None, f"n{i}", "even" if i % 2 == 0 else "odd") for i in range(200)]
     rows += [(1000, 1000, "self", "even"), (1001, 5000, "orphan", "odd")]
