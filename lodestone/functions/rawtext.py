@@ -23,8 +23,8 @@ SENTENCE_END = r"(?<![A-Z])(?<=[.!?])\s+(?=[A-Z])"
 
 def lower_words(text: Column, keep: str | None = None) -> Column:
     """Words of two characters or more in lower case, but for those that match keep; everything else stays."""
-    word = lambda t: t.rlike(r"^\w{2,}$") & (~t.rlike(keep) if keep else F.lit(True))
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"\w+|\W+"), 0), lambda t: F.when(word(t), F.lower(t)).otherwise(t)), "")
+    word = lambda t: t.rlike(r"(?U)^\w{2,}$") & (~t.rlike(keep) if keep else F.lit(True))
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\w+|\W+"), 0), lambda t: F.when(word(t), F.lower(t)).otherwise(t)), "")
 
 
 def hyphenated_bracket(text: Column) -> Column:

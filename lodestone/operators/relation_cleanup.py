@@ -40,7 +40,7 @@ def _quoted(name: Column) -> Column:
 
 def _holds(text: Column, *parts: Column | str) -> Column:
     """Whether a pattern made of parts occurs in text, whatever the case."""
-    return F.regexp_like(text, F.concat(F.lit("(?i)"), *[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    return F.regexp_like(text, F.concat(F.lit("(?iU)"), *[F.lit(p) if isinstance(p, str) else p for p in parts]))
 
 
 def _in_brackets(gene: Column) -> Column:
@@ -66,9 +66,10 @@ def is_pathway(sentence: Column, gene: Column) -> Column:
     `X genes` stays if what stands before its first place is `and`, `or` or a word of capitals and digits, as the genes are listed then.
     """
     name = _quoted(gene)
-    named = _holds(sentence, _in_brackets(gene), r"\s+(?:pathway|cycle)\b(?!\s+genes)") | _holds(sentence, r"\b(?:pathway|cycle)\s+", _in_brackets(gene)) | _holds(sentence, r"\b", name, r"\b\s+synthesis")
+    loose = _in_brackets(gene)
+    named = _holds(sentence, loose, r"\s+(?:pathway|cycle)\b(?!\s+genes)|\b(?:pathway|cycle)\s+", loose, r"|\b", name, r"\b\s+synthesis")
     genes = F.concat(F.lit(r"\b"), name, F.lit(r"\b\s+(?:pathway\s+genes|cycle\s+genes|genes)\b"))
-    before = F.regexp_extract(sentence, F.concat(F.lit("(?is)^(.*?)"), genes), 1)
+    before = F.call_function("regexp_extract", sentence, F.concat(F.lit("(?isU)^(.*?)"), genes), F.lit(1))
     word = F.regexp_extract(before, r"(\w+)\s*$", 1)
     return is_capital(gene) & (named | (_holds(sentence, genes) & ~(F.lower(word).isin("and", "or") | word.rlike("^[A-Z0-9]+$"))))
 
@@ -77,8 +78,10 @@ def is_product(sentence: Column, gene: Column) -> Column:
     """Capital names of what is stored, made, converted, or part of an enzyme's name."""
     name, loose = F.concat(F.lit(r"\b"), _quoted(gene), F.lit(r"\b")), _in_brackets(gene)
     listed = F.concat(name, F.lit(r"(?:[\s,]+(?:and|or)\s+[A-Z0-9]{2,6})?\s+"))
-    out = _holds(sentence, listed, rf"(?:{STOCKS}|{MAKING})\b") | _holds(sentence, loose, rf"\s+(?:{STOCK_STARTS}|{MAKING})")
-    out = out | _holds(sentence, loose, rf"[-\s]+\w*(?:{ENZYMES})\s*\(\w+\)") | _holds(sentence, r"\w+\s*\(", loose, rf"\)[-\s]+\w*(?:{ENZYMES})") | _holds(sentence, r"\b", loose, rf"[-\s]*(?:{ENZYMES})")
+    out = _holds(
+        sentence, listed, rf"(?:{STOCKS}|{MAKING})\b|", loose, rf"(?:\s+(?:{STOCK_STARTS}|{MAKING})|[-\s]+\w*(?:{ENZYMES})\s*\(\w+\))|\w+\s*\(", loose,
+        rf"\)[-\s]+\w*(?:{ENZYMES})|\b", loose, rf"[-\s]*(?:{ENZYMES})",
+    )
     converted = (F.length(gene) <= 5) & _holds(sentence, r"converting\s+", loose) & ~_holds(sentence, loose, rf"\s+(?:{GENE_SIGNS}|{ENZYME_SIGNS})")
     return is_capital(gene) & (out | converted)
 
@@ -87,8 +90,8 @@ def with_denial(sentence: Column, action: Column) -> Column:
     """An action of `was` or `were` as a denial, where the sentence denies it between that word and the action's; else the action."""
     word = F.regexp_extract(action, r"(?i)(?:^|\s)(?:was|were)\s+(\S+)", 1)
     free = r"(?:(?!\b(?:was|were)\b).)*?"
-    told = F.concat(F.lit(rf"(?is)\b(?:was|were)\b({free}(?:{'|'.join(p for p, _ in DENIALS)}){free})\b"), _quoted(word), F.lit(r"\b"))
-    between = F.regexp_extract(sentence, told, 1)
+    told = F.concat(F.lit(rf"(?isU)\b(?:was|were)\b({free}(?:{'|'.join(p for p, _ in DENIALS)}){free})\b"), _quoted(word), F.lit(r"\b"))
+    between = F.call_function("regexp_extract", sentence, told, F.lit(1))
     last = F.regexp_extract(action, r"(\S+)\s*$", 1)
     out = F.when(word == "", action)
     for pattern, text in DENIALS:
@@ -97,8 +100,10 @@ def with_denial(sentence: Column, action: Column) -> Column:
 
 
 def without_own_name(relation: Column) -> Column:
-    """`x -> action x` and `x -> x action` as `x -> action`; the first of these that holds, and nothing else, counts."""
-    ends = r"^(\w+)\s*->\s*([A-Za-z0-9_\s]+?)\s*\1\b.*$"
+    """`x -> action x` and `x -> x action` as `x -> action`; the first of these that holds, and nothing else, counts.
+
+    What stands behind the name at the end goes with it. An action is never lost as a whole."""
+    ends = r"^(\w+)\s*->\s*([A-Za-z0-9_][A-Za-z0-9_\s]*?)\s*\1\b.*$"
     starts = r"^(\w+)\s*->\s*\1\s+([A-Za-z0-9_\s]+)\b.*$"
     short = lambda p: F.concat(F.regexp_extract(relation, p, 1), F.lit(" -> "), F.trim(F.regexp_extract(relation, p, 2)))
     return F.when(relation.rlike(ends), short(ends)).when(relation.rlike(starts), short(starts)).otherwise(relation)
@@ -112,8 +117,8 @@ def cleaned(found: DataFrame) -> DataFrame:
     halves = F.split("relation", " -> ")
     rows = found.where("sentence is not null and relation is not null").select("paper", "sentence", halves.alias("h")).where("size(h) = 2 and h[0] <> ''")
     rows = rows.select("paper", "sentence", F.col("h")[0].alias("gene"), F.col("h")[1].alias("action")).distinct()
-    s, g = F.col("sentence"), F.col("gene")
-    # the cheap test of names first; a step's rows alone reach the next one's patterns
-    kept = rows.where(~is_metabolite(s, g)).where(~is_pathway(s, g)).where(~is_product(s, g))
-    out = F.concat(g, F.lit(" -> "), with_denial(s, F.col("action")))
-    return kept.select("paper", without_own_name(out).alias("relation")).distinct()
+    # an array of one element binds sentence and gene, which would be written into every use of them otherwise
+    stays = lambda r: ~(is_metabolite(r["sentence"], r["gene"]) | is_pathway(r["sentence"], r["gene"]) | is_product(r["sentence"], r["gene"]))
+    kept = rows.where(F.exists(F.array(F.struct("sentence", "gene")), stays))
+    told = kept.select("paper", "gene", with_denial(F.col("sentence"), F.col("action")).alias("action")).select("paper", F.concat_ws(" -> ", "gene", "action").alias("relation"))
+    return told.select("paper", without_own_name(F.col("relation")).alias("relation")).distinct()

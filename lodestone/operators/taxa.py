@@ -67,7 +67,7 @@ def name_words(texts: DataFrame, genera: DataFrame, text: str = "text", key: str
 
 
 def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\w+|\W+"), 0)
+    return F.regexp_extract_all(text, F.lit(r"(?U)\w+|\W+"), 0)
 
 
 def replace_names(texts: DataFrame, synonyms: DataFrame, text: str = "text", key: str = "article") -> DataFrame:
@@ -78,10 +78,10 @@ def replace_names(texts: DataFrame, synonyms: DataFrame, text: str = "text", key
     or don't begin and end with a word character match nothing. key tells rows apart and isn't null; null texts stay null.
     """
     head = lambda t, i: F.array(F.get(t, i), F.concat(F.get(t, i), F.get(t, i + 1), F.get(t, i + 2)))
-    names = synonyms.where(r"old rlike '^\\w' and old rlike '\\w$' and new is not null").select(F.lower("old").alias("old"), "new").groupBy("old").agg(F.min("new").alias("new"))
+    names = synonyms.where(r"old rlike '(?U)^\\w' and old rlike '(?U)\\w$' and new is not null").select(F.lower("old").alias("old"), "new").groupBy("old").agg(F.min("new").alias("new"))
     names = names.withColumn("t", _tokens(F.col("old"))).withColumn("n", F.size("t"))
     names = names.select("old", "new", "n", F.when(F.col("n") == 1, F.get("t", F.lit(0))).otherwise(F.concat(F.get("t", F.lit(0)), F.get("t", F.lit(1)), F.get("t", F.lit(2)))).alias("head"))
-    heads = lambda t: F.filter(F.transform(t, lambda w, i: F.struct(i.alias("pos"), w.rlike(r"^\w").alias("word"), head(t, i).alias("heads"))), lambda s: s["word"])
+    heads = lambda t: F.filter(F.transform(t, lambda w, i: F.struct(i.alias("pos"), w.rlike(r"(?U)^\w").alias("word"), head(t, i).alias("heads"))), lambda s: s["word"])
     # an array of one element binds the tokens, which would be made again for each of them otherwise
     starts = texts.select(F.col(key).alias("__key"), F.explode(F.get(F.transform(F.array(_tokens(F.lower(text))), heads), F.lit(0))).alias("s"))
     starts = starts.select("__key", F.col("s.pos").alias("pos"), F.explode("s.heads").alias("head"))

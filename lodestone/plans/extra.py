@@ -252,14 +252,6 @@ def str9(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.fold_accents("text").alias("folded"))
 
 
-_NOISE = [Rule(r"(?i)\bdoi:?\s*10\.\S+", " "), Rule(r"https?://\S+", " "), Rule(r"\[\s*[\d,\s-]+\]", " "), Rule(r"(?<=\d)\.(?=\d)", "_"), Rule(r"\s+", " ")]
-
-
-@query("STR25")
-def str25(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.lower(rewrite(F.col("text"), _NOISE)).alias("plain"))
-
-
 @query("STR29")
 def str29(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.split("text", r"(?<![A-Z])(?<=[.!?])\s+(?=[A-Z])").alias("sentences"))
@@ -271,24 +263,6 @@ def str30(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda p: F.size(F.split(p, " ")) > 1))).alias("clauses"))
 
 
-@query("STR33")
-def str33(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", rewrite(F.col("text"), [Rule(r"\n(?![A-Z])", " "), Rule(r"\b[ACGT]{12,}\b", ""), Rule(r" {2,}", " ")]).alias("plain"))
-
-
-@query("STR36")
-def str36(spark, sf_dir):
-    s = F.split("text", r"(?<=[.!?])\s+")
-    at = F.array_position(F.transform(s, lambda x: x.rlike("(?i)^in this (?:study|work|paper)")), True)
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(at > 0, F.slice(s, at, F.size(s))).when(F.size(s) > 6, F.slice(s, -6, 6)).otherwise(s).alias("kept"))
-
-
-@query("STR37")
-def str37(spark, sf_dir):
-    heads = F.transform(F.split("text", "\n"), lambda x: F.lower(F.trim(x)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.filter(heads, lambda h: ~h.rlike("^(?:author|acknowledg|funding|conflict|reference)")).alias("sections"))
-
-
 @query("STR46")
 def str46(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", relations.without_repeated_name(F.concat("p_type", F.lit(" -> "), "p_type", F.lit(" deletion"))).alias("relation"))
@@ -363,13 +337,6 @@ def nlp9(spark, sf_dir):
     return s.select("n_nationkey", relations.actions_near("s", "g").alias("actions"))
 
 
-@query("Q5")
-def q5(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    rows = p.select(F.col("p_partkey").alias("paper"), F.concat("p_type", F.lit(" -> "), "p_type", F.lit(" knock-out")).alias("relation"))
-    return relations.clean(rows, spark.createDataFrame([("PROMO",)], "name string"))
-
-
 _PHRASES = ["was overexpressed", "deletion", "introduction", "increasing the expression", "not expressed", "removal of the gene", "was disrupted", "blocks", "regulating expression", "not deleted", "mutation", "downregulated", "no induction", "lacks expression", "engineered", "attenuated", "inhibiting expression", "12", ""]
 
 

@@ -35,7 +35,6 @@ SQL = {
     "JN12": "select l_orderkey, argmin(p_brand, l_linenumber * 1000000 + l_partkey) as first_brand from lineitem join part on l_partkey = p_partkey where p_size > 25 group by l_orderkey",
     "JN13": "select l_suppkey, ordered(alist(distinct p_brand)) as brands from lineitem join part on l_partkey = p_partkey group by l_suppkey",
     "JN14": "select p_partkey, n_name from (select distinct p_partkey, unnest(flat(tr(seq(1, length(s)), i -> tr(seq(i, length(s)), j -> substr(s, cast(i as int), cast(j - i + 1 as int)))))) as piece from (select p_partkey, concat('NATION_', textof(p_size)) as s from part) x) y join (select distinct n_name from nation) n on piece = n_name",
-    "JN15": "select c_custkey, coalesce(e.s_suppkey, p.s_suppkey) as hit, case when e.s_suppkey is not null then 'exact' when p.s_suppkey is not null then 'popular' else 'none' end as step from customer left join (select s_nationkey, min(s_suppkey) as s_suppkey from supplier where s_acctbal > 5000 group by s_nationkey) e on c_nationkey = e.s_nationkey left join (select n_regionkey, argmin(s_suppkey, s_nationkey * 100000 + s_suppkey) as s_suppkey from supplier join nation on s_nationkey = n_nationkey group by n_regionkey) p on c_nationkey % 5 = p.n_regionkey",
     "JN16": "select w, coalesce(a.id, b.id) as id, coalesce(a.name, b.name, w) as name from (select distinct w from (select unnest(ssplit(concat(p_name, ' rings bolts'), ' ')) as w from part) y) x left join (select w2, min(id) as id, min(w2) as name from (select unnest(ssplit(p_name, ' ')) as w2, p_partkey as id from part) z group by w2) a on x.w = a.w2 left join (select w2, min(id) as id, min(w2) as name from (select unnest(ssplit(p_name, ' ')) as w2, p_partkey as id from part) z group by w2) b on a.w2 is null and substr(x.w, 1, length(x.w) - 1) = b.w2 and x.w like '%s'",
     "JN17": "select p_partkey, case when p_type in ('PROMO', 'SMALL') then p_type else coalesce(t.r_name, p_type) end as name from part left join (select r_name, r_regionkey from region) t on p_size % 7 = t.r_regionkey",
     "JN19": "select l_orderkey, l_linenumber from (select l_orderkey, l_linenumber, l_returnflag, max(case when l_returnflag = 'R' then 1 else 0 end) over (partition by l_orderkey) as any_r from lineitem) x where any_r = 0 or l_returnflag = 'R'",
@@ -93,14 +92,9 @@ SQL = {
     "STR17": "select c_custkey, rx(c_name, '^[Custome#0]+', '') as id from customer",
     "STR21": "select p_partkey, rx(rx(rx(concat(p_name, ' acid'), 'ic acid$', 'ate'), ' acid$', 'ate'), 'amino$', 'amino acid') as name from part",
     "STR22": "select p_partkey, fl(tr(ssplit(p_name, ' '), w -> replace(w, 'small', '')), w -> w <> '') as words from part",
-    "STR38": "select doc_id, ajoin(fl(ssplit(rx(lower(text), '[^a-z ]', ''), ' '), w -> length(w) > 2), ' ') as words from documents",
-    "STR39": "select p_partkey, rx(rx(lower(p_name), '\\bsmall ring\\b', 'ringlet'), '\\bsmall\\b', 'little') as name from part",
-    "STR40": "select doc_id, rx(lower(text), '\\b(the|and|with)e?s?d?i?n?g?\\b', '') as kept from documents",
-    "STR41": "select substr(full_name, 1, 1) as initial, max(full_name) as expanded from (select distinct p_name as full_name from part) x group by substr(full_name, 1, 1)",
     "STR42": "select w, case when has(w, 'ies$') then rx(w, 'ies$', 'y') when has(w, '(ss|us|is)$') or length(w) < 4 then w when has(w, 's$') then rx(w, 's$', '') else w end as one from (select distinct unnest(ssplit(lower(text), ' ')) as w from conversations) x where has(w, '^[a-z]+$')",
     "STR44": "select p_partkey, concat(upper(substr(p_type, 1, 1)), lower(substr(p_type, 2))) as title from part",
     "STR45": "select p_partkey, rextract(rel, '^([A-Za-z0-9_#-]+) *-> *(.+)$', 1) as gene, rextract(rel, '^([A-Za-z0-9_#-]+) *-> *(.+)$', 2) as action from (select p_partkey, concat(p_brand, ' ARROW ', p_type) as rel from part) x",
-    "STR47": "select n_nationkey, concat(substr(n_name, 1, 1), '. ', lower(rx(n_name, '^NATION_', ''))) as short from nation",
     "STR48": "select c_custkey, rx(trim(rx(c_name, '#', ' ')), ' +', ' ') as name from customer",
     # arrays
     "ARR1": "select p_partkey, fl(tr(ssplit(concat(replace(p_name, ' ', ', '), ', ,'), ','), x -> trim(x)), x -> x <> '') as parts from part",
@@ -134,7 +128,6 @@ SQL = {
     "ML7": "select quality, sum(case when toxic = 0 then 1 else 0 end) as t0, sum(case when toxic = 1 then 1 else 0 end) as t1 from labels group by quality",
     # composites
     "Q1": "select conv_id, coalesce(u, a, s) as found, case when u is not null then 'user' when a is not null then 'assistant' when s is not null then 'system' else 'none' end as source from (select conv_id, min(case when role = 'user' and lower(text) like '%the%' then turn end) as u, min(case when role = 'assistant' and lower(text) like '%the%' then turn end) as a, min(case when role = 'system' then turn end) as s from conversations group by conv_id) x",
-    "Q3": "select c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'default') as organism from customer",
     "Q8": "select l_suppkey, concat(textof(l_suppkey), '_', textof(code)) as grp, papers from (select l_suppkey, l_returnflag, count(distinct l_orderkey) as papers, dense_rank() over (partition by l_suppkey order by min(l_orderkey * 10 + l_linenumber), l_returnflag) as code from lineitem group by l_suppkey, l_returnflag) x",
     "Q11": "select o_orderpriority, 'abundance' as kind, cast(count(*) as double) as v from orders group by o_orderpriority union all select o_orderpriority, o_orderstatus as kind, round(cast(count(*) as double) / max(t), 6) as v from (select o_orderpriority, o_orderstatus, count(*) over (partition by o_orderpriority) as t from orders) x group by o_orderpriority, o_orderstatus",
     "Q12": "select d.doc_id, coalesce(l.quality, -1) as quality from documents d left join labels l on d.doc_id = l.doc_id where not exists (select 1 from labels t where t.doc_id = d.doc_id and t.toxic = 1) union all select doc_id, 9 as quality from labels where toxic = 1 and quality = 1",
