@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .cleaning import unit_marks, without_citations, without_roots
 from .rules import Rule, rewrite
+from .terms import sentences_of
 
 # Patterns below must equal the surveyed ones.
 LINKS = [
@@ -18,7 +19,6 @@ SPACES = [Rule(r"(?<=\d)\.(?=\d)", ""), Rule(r"(?U)\s+", " "), Rule('"', ""), Ru
 #: Roots that matter to genes and stay, and those that another takes the place of.
 GENE_KEEPS = ["express", "activ", "effect", "increas", "accumulat"]
 GENE_SWAPS = {"engineer": "frequen", "enhanc": "additionally"}
-SENTENCE_END = r"(?<![A-Z])(?<=[.!?])\s+(?=[A-Z])"
 
 
 def lower_words(text: Column, keep: str | None = None) -> Column:
@@ -50,4 +50,4 @@ def gene_roots(roots: list[str]) -> list[str]:
 def gene_sentences(text: Column, roots: list[str]) -> Column:
     """Sentences of a text on genes: raw text, markup out, roots out, cut at sentence ends. Null stays null."""
     bare = F.regexp_replace(raw_text(text, gene=True), "<.*?>", "")
-    return F.split(without_roots(bare, gene_roots(roots)), SENTENCE_END)
+    return F.when(text.isNotNull(), sentences_of(without_roots(bare, gene_roots(roots))))

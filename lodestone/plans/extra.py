@@ -252,17 +252,6 @@ def str9(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.fold_accents("text").alias("folded"))
 
 
-@query("STR29")
-def str29(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.split("text", r"(?<![A-Z])(?<=[.!?])\s+(?=[A-Z])").alias("sentences"))
-
-
-@query("STR30")
-def str30(spark, sf_dir):
-    pieces = F.split("text", r"(?:,\s*(?:and|but|which)\s+|;\s*)")
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda p: F.size(F.split(p, " ")) > 1))).alias("clauses"))
-
-
 @query("STR46")
 def str46(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", relations.without_repeated_name(F.concat("p_type", F.lit(" -> "), "p_type", F.lit(" deletion"))).alias("relation"))

@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rawtext, sections
+from ..functions import rawtext, sections, terms
 from ..functions.rules import without_words
-from ..operators import organisms, relation_cleanup, taxa
+from ..operators import lexicon, organisms, reaction_groups, relation_cleanup, taxa
 from . import dialect, mechanisms
 
 QUERIES, ORACLE = {}, {}
@@ -265,3 +265,131 @@ _B, _E = r"'[\(\[\{]?\b' || g || '\b[\)\]\}]?'", relation_cleanup.ENZYMES
 def q5(spark, sf_dir):
     """Metabolites, pathways and products out by the sentence, denials told, repeated names out."""
     return relation_cleanup.cleaned(dialect.run_sql(spark, sf_dir, _FOUND))
+
+
+# ---- terms ---------------------------------------------------------------------------------------------------
+
+_NAMES = "select l_orderkey, l_linenumber, l_partkey, concat(case when l_suppkey % 4 = 0 then 'E. coli ' when l_suppkey % 4 = 1 then 'S cerevisiae yeast ' when l_suppkey % 4 = 2 then 'human Bacillus C glutamicum ' else 'lactic sulfur ' end, p_name) as name from lineitem join part on l_partkey = p_partkey"
+
+
+def _replaced(text: str, pairs) -> str:
+    for old, new in pairs:
+        text = f"replace({text}, '{old}', '{new}')"
+    return text
+
+
+@query("STR10", f"select l_orderkey, l_linenumber, l_partkey, {_replaced('lower(name)', terms.ALIASES)} as name from ({dialect.duck_text(_NAMES)}) x")
+def str10(spark, sf_dir):
+    return dialect.run_sql(spark, sf_dir, _NAMES).withColumn("name", terms.with_aliases(F.col("name")))
+
+
+@query(
+    "STR7",
+    f"select l_orderkey, l_linenumber, l_partkey, {_replaced('lower(name)', [(p, '') for p in terms.ORGANISM_PARTS])} as organism_free, {_replaced('lower(name)', [(p, '') for p in terms.OTHER_PARTS])} as other_free from ({dialect.duck_text(_NAMES)}) x",
+)
+def str7(spark, sf_dir):
+    """Names without parts that name organisms, and without other ones, in words too."""
+    rows = dialect.run_sql(spark, sf_dir, _NAMES)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", terms.without_parts(F.col("name"), terms.ORGANISM_PARTS).alias("organism_free"), terms.without_parts(F.col("name"), terms.OTHER_PARTS).alias("other_free"))
+
+
+#: Lists of products as an order's lines tell them, with what is none.
+_LISTS = """select l_orderkey as article, alistby(item, place) as items from (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as place,
+case when l_suppkey % 16 = 0 then 'March 12, 2004' when l_suppkey % 16 = 1 then concat('~', textof(l_partkey)) when l_suppkey % 16 = 2 then concat('[ ', textof(l_partkey), ' ]') when l_suppkey % 16 = 3 then 'Vol. 12' when l_suppkey % 16 = 4 then 'Production'
+when l_suppkey % 16 = 5 then concat('industrial ', p_name) when l_suppkey % 16 = 6 then concat(' ', p_name, ' Fermentations ') when l_suppkey % 16 = 7 then concat('active  variant ', p_name, ' supplement') when l_suppkey % 16 = 8 then '' when l_suppkey % 16 = 9 then 'stable element'
+when l_suppkey % 16 = 10 then concat('pure bioethanol ', p_name) when l_suppkey % 16 = 11 then concat('Growth ', p_name, ' genes') when l_suppkey % 16 = 12 then 'lignocellulosic' when l_suppkey % 16 = 13 then 'cell growth' else p_name end as item
+from lineitem join part on l_partkey = p_partkey) x group by l_orderkey"""
+_STRIPPED = r"regexp_replace(item, '^\s+|\s+$', '', 'g')"
+_EXPLODED = f"(select article, unnest(items) as item, generate_subscripts(items, 1) as pos from ({dialect.duck_text(_LISTS)}) x)"
+
+
+def _product_sql(text: str) -> str:
+    for rule in terms.PRODUCT_RULES:
+        new = rule.replacement.replace("$", "\\")
+        text = f"regexp_replace({text}, '{rule.pattern.removeprefix('(?U)')}', '{new}', 'g')"
+    return text
+
+
+@query(
+    "STR22",
+    rf"""with v as (select article, pos, regexp_replace({_product_sql('item')}, '^\s+|\s+$', '', 'g') as v from {_EXPLODED} e),
+    r as (select article, pos, case when list_contains({dialect.duck_text('array(' + ', '.join(repr(w) for w in terms.FIRST_WORDS) + ')')}, lower(split_part(v, ' ', 1))) then array_to_string(list_slice(regexp_split_to_array(v, '\s+'), 2, 99), ' ') else v end as v from v)
+    select o.article, l.items from (select distinct article from v) o left join (select article, list(v order by pos) as items from r where v <> '' group by article) l using (article)""",
+)
+def str22(spark, sf_dir):
+    return dialect.run_sql(spark, sf_dir, _LISTS).select("article", terms.product_terms(F.col("items")).alias("items"))
+
+
+_ENDING = rf"(?i)(?:{'|'.join(terms.ENDINGS)})(?:al)?s?$"
+
+
+@query(
+    "ARR6",
+    rf"""with p as (select *, {_STRIPPED} as s from {_EXPLODED} e), w as (select *, list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '') as ws,
+    case {' '.join(f"when regexp_matches(s, '{p}') then '{r}'" for p, r in terms.NO_PRODUCT)} end as reason from p),
+    a as (select *, len(ws) > 0 and regexp_matches(ws[1], '{_ENDING}') as lead from w), b as (select *, case when lead then ws[2:] else ws end as w2 from a),
+    c as (select *, len(w2) > 0 and regexp_matches(w2[-1], '{_ENDING}') as trail from b), d as (select *, case when trail then w2[:-2] else w2 end as w3 from c)
+    select article, cast(pos as int) as place, item, case when reason is null and len(w3) > 0 then array_to_string(w3, ' ') end as product,
+    case when reason is not null then item || ': ' || reason else concat_ws('; ', case when lead then ws[1] || ': {terms.LEADING}' end, case when trail then w2[-1] || ': {terms.TRAILING}' end, case when len(w3) = 0 then item || ': {terms.NOTHING_LEFT}' end) end as log from d""",
+)
+def arr6(spark, sf_dir):
+    """Items of product lists with what is left of them and why the rest went."""
+    rows = dialect.run_sql(spark, sf_dir, _LISTS).select("article", F.posexplode(terms.trimmed_products(F.col("items"))).alias("i", "x"))
+    log = F.array_join(F.transform("x.log", lambda e: F.concat(e["value"], F.lit(": "), e["reason"])), "; ")
+    return rows.select("article", (F.col("i") + 1).alias("place"), "x.item", "x.product", log.alias("log"))
+
+
+@query("STR29")
+def str29(spark, sf_dir):
+    """Sentences of the corpus."""
+    return table(spark, sf_dir, "documents").select("doc_id", terms.sentences_of(F.col("text")).alias("sentences"))
+
+
+@query("STR30")
+def str30(spark, sf_dir):
+    """Clauses of the corpus by the marks and words at which gene texts are cut."""
+    return table(spark, sf_dir, "documents").select("doc_id", terms.gene_clauses(terms.sentences_of(F.col("text"))).alias("clauses"))
+
+
+# ---- lexicons: first words of parts are adjectives, second ones nouns ------------------------------------------
+
+_ADJECTIVES = "select distinct substr(p_name, 1, ordinal(p_name, ' ') - 1) as word from part union all select '12' as word from region"
+_NOUNS = "select distinct substr(p_name, ordinal(p_name, ' ') + 1) as word from part"
+_TEXTS = mechanisms.TEXTS
+
+
+def _lexicon_sql(words: str, more: str = "") -> str:
+    return rf"""with t as (select article, text from ({dialect.duck_text(_TEXTS)}) x), w as (select article, unnest(ws) as w, generate_subscripts(ws, 1) as pos from (select article, regexp_split_to_array(text, '\s+') as ws from t) y)
+    select t.article, coalesce(k, '') as text from t left join (select article, string_agg(w, ' ' order by pos) as k from w where w <> '' and w not in (select word from ({dialect.duck_text(words)}) l {more}) group by article) z using (article)"""
+
+
+@query("STR4", _lexicon_sql(_ADJECTIVES, "where not regexp_full_match(word, '[0-9]+')"))
+def str4(spark, sf_dir):
+    """Texts without adjectives, told as they are written; numbers stay."""
+    return lexicon.without_lexicon(dialect.run_sql(spark, sf_dir, _TEXTS), dialect.run_sql(spark, sf_dir, _ADJECTIVES), numbers=False)
+
+
+@query("STR5", _lexicon_sql(_NOUNS))
+def str5(spark, sf_dir):
+    """Texts without nouns."""
+    return lexicon.without_lexicon(dialect.run_sql(spark, sf_dir, _TEXTS), dialect.run_sql(spark, sf_dir, _NOUNS))
+
+
+# ---- reaction groups: what Q7 chooses, with the organisms of the orders' lines -----------------------------------
+
+_LIVED = "select l_orderkey as paper, concat('org', textof(l_suppkey % 6)) as organism from lineitem where l_quantity < 40"
+
+
+@query(
+    "Q8",
+    f"""with q as (select * from ({mechanisms._CHOSEN}) z), r as (select paper, gene, stage as class, split_part(e, '=', 1) as xref, reactions as ids, array_to_string(list_sort(list_distinct(string_split(split_part(e, '=', 2), ';'))), ',') as ec_key from (select *, unnest(chosen_ecs) as e from q) y),
+    o as ({dialect.duck_text(_LIVED)}),
+    g as (select xref, ec_key, min((paper, gene)) as first, list_sort(list(distinct gene)) as genes, list_sort(list(distinct paper)) as papers, list_sort(list(distinct class)) as classes, list_sort(list_distinct(flatten(list(ids)))) as ids from r group by 1, 2),
+    l as (select xref, ec_key, list_sort(list(distinct organism)) as organisms from r join o using (paper) group by 1, 2), t as (select xref, count(distinct paper) as n from r group by 1)
+    select xref || '_' || row_number() over (partition by xref order by first, ec_key) as grp, xref, ec_key, genes, papers, classes, ids, coalesce(organisms, []) as organisms, len(papers) as n_papers, round(len(papers) / n, 6) as share
+    from g left join l using (xref, ec_key) join t using (xref)""",
+)
+def q8(spark, sf_dir):
+    chosen = mechanisms.q7(spark, sf_dir).select("paper", "gene", F.col("stage").alias("class"), F.col("reactions").alias("ids"), F.explode("chosen_ecs").alias("e"))
+    rows = chosen.select("paper", "gene", "class", "ids", F.substring_index("e", "=", 1).alias("xref"), F.split(F.substring_index("e", "=", -1), ";").alias("ecs"))
+    return reaction_groups.reaction_groups(rows, dialect.run_sql(spark, sf_dir, _LIVED))

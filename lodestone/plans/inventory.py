@@ -80,10 +80,6 @@ SQL = {
     "STR1": "select doc_id, rx(rx(text, '<[^>]*>', ''), '[^a-zA-Z0-9]', ' ') as plain from documents",
     "STR2": "select doc_id, trim(coalesce(source, '')) as source from documents",
     "STR3": "select doc_id, ajoin(fl(ssplit(text, ' '), w -> not acontains(" + STOP_LIST + ", lower(w))), ' ') as kept from documents",
-    "STR4": "select doc_id, ajoin(fl(ssplit(text, ' '), w -> not (has(w, 'ly$') and not has(w, '[0-9]'))), ' ') as kept from documents",
-    "STR5": "select doc_id, ajoin(fl(ssplit(text, ' '), w -> not acontains(" + STOP_LIST + ", w)), ' ') as kept from documents",
-    "STR7": "select p_partkey, replace(replace(replace(lower(p_name), 'ring', ''), 'blue', ''), 'small', '') as name from part",
-    "STR10": "select p_partkey, replace(replace(lower(p_name), 'small', 'little'), 'little ring', 'ringlet') as name from part",
     "STR12": "select doc_id, lower(concat_ws(' ', textof(doc_id), rx(text, '</?([biBI]|[sS][uU][pP]|[sS][uU][bB])>', ''), lang, source)) as search from documents",
     "STR13": "select page_id, concat('https://records.example.org/', textof(page_id), '/') as link from pages",
     "STR14": "select page_id, case when doi = '10.1000/7' then '10.1000/77' else doi end as doi from (select page_id, rx(rx(rx(rx(d, '^.*doi:', ''), '^.*doi/', ''), '^.*doi[.]org/', ''), '^[''\"]+|[''\"]+$', '') as doi from (select page_id, case when page_id % 4 = 0 then concat('https://doi.org/10.1000/', textof(page_id)) when page_id % 4 = 1 then concat('doi:10.1000/', textof(page_id)) when page_id % 4 = 2 then concat('\"x/doi/10.1000/', textof(page_id), '\"') else concat('10.1000/', textof(page_id)) end as d from pages) x) y",
@@ -91,7 +87,6 @@ SQL = {
     "STR16": "select o_orderkey, coalesce(y, rextract(m, '^([^ ]*)', 1), a, case when cast(rextract(e, '^[^.]*[.][^.]*[.]([0-9]+)', 1) as int) between 1910 and 2100 then rextract(e, '^[^.]*[.][^.]*[.]([0-9]+)', 1) end) as year from (select o_orderkey, case when o_orderkey % 4 = 0 then textof(year(o_orderdate)) end as y, case when o_orderkey % 4 = 1 then concat(textof(year(o_orderdate)), ' Jan-Feb') end as m, case when o_orderkey % 4 = 2 then textof(year(o_orderdate)) end as a, concat('10.j.', textof(1900 + o_orderkey % 300), '.2') as e from orders) x",
     "STR17": "select c_custkey, rx(c_name, '^[Custome#0]+', '') as id from customer",
     "STR21": "select p_partkey, rx(rx(rx(concat(p_name, ' acid'), 'ic acid$', 'ate'), ' acid$', 'ate'), 'amino$', 'amino acid') as name from part",
-    "STR22": "select p_partkey, fl(tr(ssplit(p_name, ' '), w -> replace(w, 'small', '')), w -> w <> '') as words from part",
     "STR42": "select w, case when has(w, 'ies$') then rx(w, 'ies$', 'y') when has(w, '(ss|us|is)$') or length(w) < 4 then w when has(w, 's$') then rx(w, 's$', '') else w end as one from (select distinct unnest(ssplit(lower(text), ' ')) as w from conversations) x where has(w, '^[a-z]+$')",
     "STR44": "select p_partkey, concat(upper(substr(p_type, 1, 1)), lower(substr(p_type, 2))) as title from part",
     "STR45": "select p_partkey, rextract(rel, '^([A-Za-z0-9_#-]+) *-> *(.+)$', 1) as gene, rextract(rel, '^([A-Za-z0-9_#-]+) *-> *(.+)$', 2) as action from (select p_partkey, concat(p_brand, ' ARROW ', p_type) as rel from part) x",
@@ -100,7 +95,6 @@ SQL = {
     "ARR1": "select p_partkey, fl(tr(ssplit(concat(replace(p_name, ' ', ', '), ', ,'), ','), x -> trim(x)), x -> x <> '') as parts from part",
     "ARR2": "select user_id, ordered(aset(tr(ts, x -> case when x in ('purchase', 'signup') then x else 'Other' end))) as d from (select user_id, alist(event_type) as ts from events group by user_id) x",
     "ARR4": "select p_partkey, unnest(ssplit(p_name, ' ')) as w from part",
-    "ARR6": "select p_partkey, w, case when length(w) < 4 then 'short' when has(w, 'ring') then 'suffix' else 'kept' end as reason from (select p_partkey, unnest(ssplit(p_name, ' ')) as w from part) x",
     "ARR10": "select k, fl(a, e -> not acontains(array(1, 2, 3, 5, 8, 13), e % 14)) as kept from " + LISTS + " x",
     "ARR11": "select doc_id, ajoin(fl(ssplit(text, ' '), w -> length(w) > 1), ' ') as kept from documents",
     "ARR12": "select p_partkey, case when p_type = 'PROMO' then array('promo', 'sale') when p_size < 10 then array('small') else array(lower(p_type)) end as categories from part",
@@ -128,7 +122,6 @@ SQL = {
     "ML7": "select quality, sum(case when toxic = 0 then 1 else 0 end) as t0, sum(case when toxic = 1 then 1 else 0 end) as t1 from labels group by quality",
     # composites
     "Q1": "select conv_id, coalesce(u, a, s) as found, case when u is not null then 'user' when a is not null then 'assistant' when s is not null then 'system' else 'none' end as source from (select conv_id, min(case when role = 'user' and lower(text) like '%the%' then turn end) as u, min(case when role = 'assistant' and lower(text) like '%the%' then turn end) as a, min(case when role = 'system' then turn end) as s from conversations group by conv_id) x",
-    "Q8": "select l_suppkey, concat(textof(l_suppkey), '_', textof(code)) as grp, papers from (select l_suppkey, l_returnflag, count(distinct l_orderkey) as papers, dense_rank() over (partition by l_suppkey order by min(l_orderkey * 10 + l_linenumber), l_returnflag) as code from lineitem group by l_suppkey, l_returnflag) x",
     "Q11": "select o_orderpriority, 'abundance' as kind, cast(count(*) as double) as v from orders group by o_orderpriority union all select o_orderpriority, o_orderstatus as kind, round(cast(count(*) as double) / max(t), 6) as v from (select o_orderpriority, o_orderstatus, count(*) over (partition by o_orderpriority) as t from orders) x group by o_orderpriority, o_orderstatus",
     "Q12": "select d.doc_id, coalesce(l.quality, -1) as quality from documents d left join labels l on d.doc_id = l.doc_id where not exists (select 1 from labels t where t.doc_id = d.doc_id and t.toxic = 1) union all select doc_id, 9 as quality from labels where toxic = 1 and quality = 1",
     # the rest
