@@ -402,14 +402,6 @@ def _labelled(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("toxic").cast("double").alias("label"))
 
 
-@query("ML1")
-def ml1(spark, sf_dir):
-    from pyspark.ml import Pipeline
-
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return Pipeline(stages=classify.features("text", "t")).fit(d).transform(d).select("doc_id", F.col("t_x").cast("string").alias("vector"))
-
-
 @query("ML8")
 def ml8(spark, sf_dir):
     from pyspark.ml import Pipeline

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rawtext, sections, terms
 from ..functions.rules import without_words
-from ..operators import lexicon, organisms, reaction_groups, relation_cleanup, taxa
+from ..operators import curation, lexicon, organisms, reaction_groups, relation_cleanup, taxa, vectors
 from . import dialect, mechanisms
 
 QUERIES, ORACLE = {}, {}
@@ -393,3 +393,41 @@ def q8(spark, sf_dir):
     chosen = mechanisms.q7(spark, sf_dir).select("paper", "gene", F.col("stage").alias("class"), F.col("reactions").alias("ids"), F.explode("chosen_ecs").alias("e"))
     rows = chosen.select("paper", "gene", "class", "ids", F.substring_index("e", "=", 1).alias("xref"), F.split(F.substring_index("e", "=", -1), ";").alias("ecs"))
     return reaction_groups.reaction_groups(rows, dialect.run_sql(spark, sf_dir, _LIVED))
+
+
+# ---- vectors and curation ----------------------------------------------------------------------------------------
+
+
+@query(
+    "ML1",
+    r"""with w as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}')) as term from documents), c as (select doc_id, term, count(*) as x from w group by 1, 2),
+    t as (select term, count(*) as df from c group by 1), n as (select count(*)::double as n from documents),
+    m as (select doc_id, term, x, ln((1 + n) / (1 + df)) + 1 as idf, df <= 0.85 * n as rare from c join t using (term), n),
+    u as (select doc_id, term, 'counts' as kind, x::double as v, 1.0::double as l from m where rare
+    union all select doc_id, term, 'tfidf', x * idf, sqrt(sum((x * idf) * (x * idf)) over (partition by doc_id)) from m where rare
+    union all select doc_id, term, 'tfidf_all', x * idf, sqrt(sum((x * idf) * (x * idf)) over (partition by doc_id)) from m
+    union all select doc_id, term, 'tfidf_twice', x * idf * idf, sqrt(sum((x * idf * idf) * (x * idf * idf)) over (partition by doc_id)) from m)
+    select doc_id, kind, count(*) as n_terms, round(sum(v / l), 6) as total, round(max(v / l), 6) as top, min(term) as first from u group by doc_id, kind""",
+)
+def ml1(spark, sf_dir):
+    """The four weightings of every document, as sums over its words."""
+    rows = vectors.weights(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.groupBy("doc_id", "kind").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("top"), F.min("term").alias("first"))
+
+
+_DOI = "concat('10.1000/', textof(page_id % 50), case when page_id % 7 = 0 then 'A+' else 'a' end)"
+_FETCHED = f"select page_id as pm_id, {_DOI} as doi, url as title, textof(codepoints(html)) as abstract from pages union all select page_id as pm_id, {_DOI} as doi, url as title, textof(codepoints(html)) as abstract from pages where page_id % 3 = 0"
+_EXPECTED = "select page_id as pm_id, concat('\"10.1000/', textof(page_id % 50), case when page_id % 11 = 0 then 'b' when page_id % 5 = 0 then 'A see' else 'a' end, '\"') as doi, concat('\"', url, '\"') as title from pages"
+_CORRECTIONS = "select concat('10.1000/', textof(item_id % 60), 'b') as doi, text as abstract from benchmark"
+
+
+@query(
+    "Q12",
+    rf"""with a as (select distinct pm_id, doi, title, abstract from ({dialect.duck_text(_FETCHED)}) x), e as (select pm_id, trim(doi, '"') as doi, trim(title, '"') as title from ({dialect.duck_text(_EXPECTED)}) y),
+    f as (select pm_id, min(split_part(trim(trim(lower(doi)), '+'), ' ', 1)) as has from a group by pm_id), w as (select e.pm_id from e join f using (pm_id) where split_part(trim(trim(lower(e.doi)), '+'), ' ', 1) <> has)
+    select *, 'fetched' as origin from a where pm_id not in (select pm_id from w) union all
+    select null as pm_id, c.doi, t.title, c.abstract, 'curated' as origin from (select distinct * from ({dialect.duck_text(_CORRECTIONS)}) z) c left join (select distinct doi, title from e) t on t.doi = c.doi""",
+)
+def q12(spark, sf_dir):
+    ask = lambda sql: dialect.run_sql(spark, sf_dir, sql)
+    return curation.curated(ask(_FETCHED), ask(_EXPECTED), ask(_CORRECTIONS))

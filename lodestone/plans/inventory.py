@@ -123,7 +123,6 @@ SQL = {
     # composites
     "Q1": "select conv_id, coalesce(u, a, s) as found, case when u is not null then 'user' when a is not null then 'assistant' when s is not null then 'system' else 'none' end as source from (select conv_id, min(case when role = 'user' and lower(text) like '%the%' then turn end) as u, min(case when role = 'assistant' and lower(text) like '%the%' then turn end) as a, min(case when role = 'system' then turn end) as s from conversations group by conv_id) x",
     "Q11": "select o_orderpriority, 'abundance' as kind, cast(count(*) as double) as v from orders group by o_orderpriority union all select o_orderpriority, o_orderstatus as kind, round(cast(count(*) as double) / max(t), 6) as v from (select o_orderpriority, o_orderstatus, count(*) over (partition by o_orderpriority) as t from orders) x group by o_orderpriority, o_orderstatus",
-    "Q12": "select d.doc_id, coalesce(l.quality, -1) as quality from documents d left join labels l on d.doc_id = l.doc_id where not exists (select 1 from labels t where t.doc_id = d.doc_id and t.toxic = 1) union all select doc_id, 9 as quality from labels where toxic = 1 and quality = 1",
     # the rest
     "RST2": "select k, min(page_id) as first, count(*) as n from (select page_id, ssplit(url, '/')[SUB2] as k from pages) x group by k",
     "RST4": "select doc_id, lower(lang) as lang, 1 as class from documents where doc_id in (select doc_id from labels where quality = 1)",
