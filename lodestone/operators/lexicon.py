@@ -1,4 +1,4 @@
-"""Texts without the words of a lexicon, by an anti-join, so that a lexicon may be of any size."""
+"""Texts without the words of a lexicon, by a join, so that a lexicon may be of any size."""
 
 from __future__ import annotations
 
@@ -14,8 +14,11 @@ def without_lexicon(texts: DataFrame, lexicon: DataFrame, text: str = "text", ke
     rows apart.
     """
     known = lexicon.select("word").where("word <> ''" if numbers else "word <> '' and not word rlike '^[0-9]+$'").distinct()
-    rows = texts.select(F.col(key).alias("__key"), F.posexplode(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("pos", "w"))
-    places = rows.groupBy("__key", "w").agg(F.collect_list("pos").alias("at")).withColumn("word", F.lower("w") if fold else F.col("w"))
-    left = places.join(known, "word", "left_anti").select("__key", F.explode("at").alias("pos"), "w").groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("l"))
-    kept = F.when(F.col(text).isNotNull(), F.coalesce(F.array_join(F.transform("l", lambda s: s["w"]), " "), F.lit("")))
-    return texts.select(key, text).join(left, F.col(key) == F.col("__key"), "left").select(key, kept.alias(text))
+    folded = F.lower if fold else lambda w: w
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    # only words that the lexicon holds are gathered; the words that stay never leave their text
+    each = texts.select(F.col(key).alias("__key"), F.explode(F.array_distinct(F.transform(words, folded))).alias("word"))
+    out = each.join(known, "word").groupBy("__key").agg(F.collect_set("word").alias("__out"))
+    left = F.filter(words, lambda w: ~F.array_contains("__out", folded(w)))
+    kept = F.when(F.col("__out").isNull(), F.array_join(words, " ")).otherwise(F.array_join(left, " "))
+    return texts.select(key, text).join(out, F.col(key) == F.col("__key"), "left").select(key, kept.alias(text))
