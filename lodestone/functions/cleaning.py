@@ -140,6 +140,10 @@ CITATIONS = [
 
 # End of the fixed values.
 
+#: What a match of JOURNAL and of each of CITATIONS holds in any case: told in one quick scan, where these go back and forth.
+JOURNAL_HOLDS = r"\d[:–;.]\s*\d"
+CITATIONS_HOLD = [r"\d\)[:–;.,]?\s*\d", r"(?i)DOI", r":\s+\d{1,2}\s+\w+\s+\d{4}", r":\s+\w+\s+\d{1,2},?\s+\d{4}", r"(?i)\.(?:org|com)/."]
+
 
 def _rules(pairs: list[tuple[str, str]]) -> list[Rule]:
     """Word characters and borders are told by Unicode."""
@@ -215,14 +219,15 @@ def without_citations(s: pd.Series) -> pd.Series:
 
     Of a journal citation only its last short word goes, everywhere in the text, as surveyed.
     """
-    journal, other, rest = re.compile(JOURNAL), re.compile(NOT_JOURNAL), [re.compile(p) for p in CITATIONS]
+    journal, held, other = re.compile(JOURNAL), re.compile(JOURNAL_HOLDS), re.compile(NOT_JOURNAL)
+    rest = [(re.compile(h), re.compile(p)) for h, p in zip(CITATIONS_HOLD, CITATIONS, strict=True)]
 
     def one(t):
         if t is None:
             return None
-        found = [m[1] for m in journal.finditer(t)]
+        found = [m[1] for m in journal.finditer(t)] if held.search(t) else []
         t = reduce(lambda x, w: x.replace(w, ""), (w for w in found if not other.match(w)), t)
-        return reduce(lambda x, p: p.sub("", x), rest, t)
+        return reduce(lambda x, p: p[1].sub("", x) if p[0].search(x) else x, rest, t)
 
     return s.map(one)
 

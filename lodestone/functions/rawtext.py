@@ -24,13 +24,17 @@ GENE_SWAPS = {"engineer": "frequen", "enhanc": "additionally"}
 def lower_words(text: Column, keep: str | None = None) -> Column:
     """Words of two characters or more in lower case, but for those that match keep; everything else stays."""
     word = lambda t: t.rlike(r"(?U)^\w{2,}$") & (~t.rlike(keep) if keep else F.lit(True))
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\w+|\W+"), 0), lambda t: F.when(word(t), F.lower(t)).otherwise(t)), "")
+    # what is in lower case already is told without a pattern
+    lowered = lambda t: F.when(F.lower(t) == t, t).when(word(t), F.lower(t)).otherwise(t)
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\w+|\W+"), 0), lowered), "")
 
 
 def hyphenated_bracket(text: Column) -> Column:
     """The first part in brackets with hyphens for its blanks, wherever the same part stands."""
-    part = F.regexp_extract(text, r"\([^)]*\)", 0)
-    return F.when(part != "", F.replace(text, part, F.replace(part, F.lit(" "), F.lit("-")))).otherwise(text)
+    # an array of one element binds the text, which would be made again, by all rules before, at each mention otherwise
+    found = F.transform(F.array(text), lambda t: F.struct(t.alias("t"), F.regexp_extract(t, r"\([^)]*\)", 0).alias("part")))
+    joined = lambda x: F.replace(x["t"], x["part"], F.replace(x["part"], F.lit(" "), F.lit("-")))
+    return F.transform(found, lambda x: F.when(x["part"] != "", joined(x)).otherwise(x["t"]))[0]
 
 
 def raw_text(text: Column, gene: bool = False) -> Column:

@@ -116,9 +116,12 @@ def trimmed_products(values: Column) -> Column:
 
 def sentences_of(text: Column) -> Column:
     """The sentences of a text; names like `E. coli` hold together. Null and empty texts have none."""
-    cut = F.split(text, f"(?U){'|'.join(SENTENCE_ENDS)}")
-    whole = F.when(F.element_at(cut, -1) == "", F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut)
-    return F.when(F.length(text) > 0, F.flatten(F.transform(whole, lambda s: F.split(s, f"(?U){'|'.join(STRAY_ENDS)}")))).otherwise(F.expr("cast(array() as array<string>)"))
+    cut = lambda t: F.split(t, f"(?U){'|'.join(SENTENCE_ENDS)}")
+    whole = lambda c: F.when(F.element_at(c, -1) == "", F.slice(c, F.lit(1), F.size(c) - 1)).otherwise(c)
+    # arrays of one element bind the text and its cuts, which would be made again at each mention otherwise
+    parts = lambda t: F.flatten(F.transform(F.flatten(F.transform(F.array(cut(t)), whole)), lambda s: F.split(s, f"(?U){'|'.join(STRAY_ENDS)}")))
+    none = F.expr("cast(array() as array<string>)")
+    return F.transform(F.array(text), lambda t: F.when(F.length(t) > 0, parts(t)).otherwise(none))[0]
 
 
 def gene_clauses(sentences: Column) -> Column:
