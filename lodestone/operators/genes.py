@@ -25,8 +25,10 @@ def find(tokens: DataFrame, dictionary: DataFrame, fakes: DataFrame | None = Non
     if fakes is not None:
         each = each.join(fakes.select(F.col("gene")).distinct(), "gene", "left_anti")
     hit = each.join(dictionary.select("gene").distinct(), "gene")
-    best = hit.groupBy("article").agg(F.min("step").alias("step"))
-    return hit.join(best, ["article", "step"]).groupBy("article").agg(F.array_sort(F.collect_set("gene")).alias("genes"), F.min("step").alias("step"))
+    # one grouping of what was found: each spelling's genes side by side, the first that has any is taken
+    sets = hit.groupBy("article").agg(*[F.collect_set(F.when(F.col("step") == i, F.col("gene"))).alias(f"s{i}") for i in range(len(forms))])
+    first = lambda value: F.coalesce(*[F.when(F.size(f"s{i}") > 0, value(i)) for i in range(len(forms))])
+    return sets.select("article", first(lambda i: F.array_sort(f"s{i}")).alias("genes"), first(lambda i: F.lit(i)).alias("step"))
 
 
 def lookup(rows: DataFrame, exact: DataFrame, popular: DataFrame) -> DataFrame:

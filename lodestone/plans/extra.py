@@ -310,7 +310,7 @@ def _words(spark, sf_dir):
 
 @query("NLP8", "select t.article, list_sort(list(distinct t.token)) as genes, min(0) as step from (select conv_id * 1000 + turn as article, unnest(regexp_split_to_array(text, '\\s+')) as token from conversations) t where t.token in (select n_name from nation union all select 'the' union all select 'und') group by t.article")
 def nlp8(spark, sf_dir):
-    names = _nation(spark, sf_dir).select(F.col("n_name").alias("gene")).union(spark.createDataFrame([("the",), ("und",)], "gene string"))
+    names = _nation(spark, sf_dir).select(F.col("n_name").alias("gene")).union(spark.range(1).select(F.explode(F.array(F.lit("the"), F.lit("und"))).alias("gene")))
     tokens = _words(spark, sf_dir).select("article", F.posexplode("tokens").alias("pos", "token"))
     return genes.find(tokens, names)
 
