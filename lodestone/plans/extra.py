@@ -299,6 +299,16 @@ def str40(spark, sf_dir):
 # ---- joins, dictionaries, extraction ------------------------------------------------------------------
 
 
+@query("JN14")
+def jn14(spark, sf_dir):
+    """Nations whose names stand in the text of a part: pieces are cut once a distinct text, and parts meet what these hold."""
+    texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("NATION_"), F.col("p_size").cast("string")).alias("s"))
+    pieces = F.expr("flatten(transform(sequence(1, length(s)), i -> transform(sequence(i, length(s)), j -> substr(s, i, j - i + 1))))")
+    once = texts.select("s").distinct().select("s", F.explode(pieces).alias("n_name"))
+    found = once.join(_nation(spark, sf_dir).select("n_name").distinct(), "n_name").distinct()
+    return texts.join(found, "s").select("p_partkey", "n_name").distinct()
+
+
 @query("JN18")
 def jn18(spark, sf_dir):
     return similar.close_names(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")))
