@@ -114,12 +114,31 @@ def trimmed_products(values: Column) -> Column:
     return F.transform(values, one)
 
 
+# The lists above as one pattern each: what begins with the same character is told behind it, in the order of the list.
+_ENDS_ONCE = r"\.(?:(?<=[\w\)\]]\.)(?=\s+[A-Z]|\s?$)|(?<=[a-z]\.)(?=\s+[a-z]|\s?$)|(?<=[\)\]]\.)(?=\s+\w|\s?$))|:\s"
+_STRAY_ONCE = r"\s\.\s|\.\s,"
+_MARKS_ONCE = r"\s(?:\.\s\(|\.\s|\s{2,}|;\s)|\.\s(?:,|(?<=\w[\d\W]\.\s)(?=\w)|(?<=[a-z]\w[A-Z]\.\s)(?=\w)|the\s)|•\s"
+_WORDS_ONCE = (
+    r"\s(?:under\s|which\s|\w+ly\s|by\s|via\s|in\s[A-Z].\s|resulted\s|in\saddition,|it\swas\salso\sfound\sthat\s|and\shence\s)"
+    r"|ha[v|s]e?\sbeen\s(?:reported|explained|shown|used)\s|\bwas\sused\b"
+)
+_CUT = "\x01"
+
+
+def _split(text: Column, pattern: str) -> Column:
+    """F.split(), which makes its pattern anew for each text; here it is made once, and a character tells the cuts.
+
+    pattern matches no empty string; a text that holds the character is split the plain way.
+    """
+    return F.when(F.contains(text, F.lit(_CUT)), F.split(text, pattern)).otherwise(F.split(F.regexp_replace(text, pattern, _CUT), _CUT))
+
+
 def sentences_of(text: Column) -> Column:
     """The sentences of a text; names like `E. coli` hold together. Null and empty texts have none."""
-    cut = lambda t: F.split(t, f"(?U){'|'.join(SENTENCE_ENDS)}")
+    cut = lambda t: _split(t, f"(?U){_ENDS_ONCE}")
     whole = lambda c: F.when(F.element_at(c, -1) == "", F.slice(c, F.lit(1), F.size(c) - 1)).otherwise(c)
     # arrays of one element bind the text and its cuts, which would be made again at each mention otherwise
-    parts = lambda t: F.flatten(F.transform(F.flatten(F.transform(F.array(cut(t)), whole)), lambda s: F.split(s, f"(?U){'|'.join(STRAY_ENDS)}")))
+    parts = lambda t: F.flatten(F.transform(F.flatten(F.transform(F.array(cut(t)), whole)), lambda s: _split(s, f"(?U){_STRAY_ONCE}")))
     none = F.expr("cast(array() as array<string>)")
     return F.transform(F.array(text), lambda t: F.when(F.length(t) > 0, parts(t)).otherwise(none))[0]
 
@@ -127,5 +146,5 @@ def sentences_of(text: Column) -> Column:
 def gene_clauses(sentences: Column) -> Column:
     """Distinct clauses of two words or more, in order of place: sentences cut at marks, and these at words."""
     trimmed = lambda parts: F.filter(F.transform(parts, lambda s: F.btrim(s, F.lit(" .,"))), lambda s: s.rlike(r"(?U)\S\s+\S"))
-    cut = lambda values, marks: F.array_distinct(F.flatten(F.transform(values, lambda s: trimmed(F.split(s, f"(?U){'|'.join(marks)}")))))
-    return cut(cut(sentences, CLAUSE_MARKS), CLAUSE_WORDS)
+    cut = lambda values, pattern: F.array_distinct(F.flatten(F.transform(values, lambda s: trimmed(_split(s, f"(?U){pattern}")))))
+    return cut(cut(sentences, _MARKS_ONCE), _WORDS_ONCE)
