@@ -29,3 +29,19 @@ def test_curated(spark):
     got = {(r.pm_id, r.doi, r.title, r.abstract, r.origin) for r in curation.curated(a, e, c).collect()}
     assert got == {(1, "10.1/A+", "t1", "x", "fetched"), (3, None, "t3", "z", "fetched"), (None, "10.9", "t", "q", "fetched"), (None, "10.2/c", "T2", "new", "curated"), (None, "10.7", None, "lost", "curated")}
     assert curation.curated(a.limit(0), e.limit(0), c.limit(0)).count() == 0
+
+
+def test_words_are_counted_in_their_row(spark):
+    """Words of a text are told by its row: what shuffles is once a distinct word to its frequency and once back."""
+    from lodestone.operators import vectors
+
+    df = spark.createDataFrame([(1, "a bb cc bb Bb"), (2, ""), (3, None), (4, "cc é éé zz zz")], "doc_id long, text string")
+    rows = vectors.by_text(df)
+    assert sum("Exchange hashpartitioning" in x and "Reused" not in x for x in rows._jdf.queryExecution().executedPlan().toString().split("\n")) <= 4
+    got = {r.doc_id: sorted((e.term, e.counts) for e in r.terms) for r in rows.collect()}
+    assert got == {1: [("bb", 3.0), ("cc", 1.0)], 4: [("cc", 1.0), ("zz", 2.0), ("éé", 1.0)]}
+    told = {(r.doc_id, r.kind): r for r in vectors.sums(df).collect()}
+    for r in vectors.weights(df).groupBy("doc_id", "kind").agg({"weight": "sum", "term": "min", "*": "count"}).collect():
+        t = told[r.doc_id, r.kind]
+        assert abs(t.total - r["sum(weight)"]) < 1e-9 and t.first == r["min(term)"] and t.n_terms == r["count(1)"]
+    assert len(told) == 8
