@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, cleaning, text
 from ..functions.rules import without_words
-from ..operators import classify, explorer, genes, products, relations, scratch, similar
+from ..operators import classify, explorer, genes, products, relations, scratch, similar, together
 from ..sources import readers, writers
 
 QUERIES, ORACLE = {}, {}
@@ -296,6 +296,34 @@ def str40(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", without_words(F.col("text"), ["the", "strain", "study"], "esding").alias("plain"))
 
 
+# ---- an order's lines as lists: the order of the SQL ties where part keys lie a million apart ------------
+
+
+def _parts(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return together.in_file_order(lines, "l_orderkey", F.col("l_partkey"), F.col("l_linenumber") * 1000000 + F.col("l_partkey"))
+
+
+@query("AGG2")
+def agg2(spark, sf_dir):
+    return _parts(spark, sf_dir).select("l_orderkey", F.col("values").alias("parts"))
+
+
+@query("AGG5")
+def agg5(spark, sf_dir):
+    return _parts(spark, sf_dir).select("l_orderkey", F.array_join(F.col("values").cast("array<string>"), "").alias("joined"))
+
+
+@query("ARR10")
+def arr10(spark, sf_dir):
+    return _parts(spark, sf_dir).select(F.col("l_orderkey").alias("k"), F.filter("values", lambda e: ~(e % 14).isin(1, 2, 3, 5, 8, 13)).alias("kept"))
+
+
+@query("ARR18")
+def arr18(spark, sf_dir):
+    return _parts(spark, sf_dir).select(F.col("l_orderkey").alias("k"), F.filter("values", lambda e: e != F.get("values", F.lit(0))).alias("others"))
+
+
 # ---- joins, dictionaries, extraction ------------------------------------------------------------------
 
 
