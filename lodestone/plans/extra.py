@@ -327,6 +327,12 @@ def arr18(spark, sf_dir):
 # ---- joins, dictionaries, extraction ------------------------------------------------------------------
 
 
+@query("JN5")
+def jn5(spark, sf_dir):
+    n = together.counted(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", "l_partkey")
+    return n.select(F.col("left").alias("gene"), F.col("right").alias("reaction"), "n")
+
+
 @query("JN14")
 def jn14(spark, sf_dir):
     """Nations whose names stand in the text of a part: pieces are cut once a distinct text, and parts meet what these hold."""
@@ -353,6 +359,11 @@ def nlp8(spark, sf_dir):
     return genes.find(tokens, names)
 
 
+@query("AGG16")
+def agg16_reach(spark, sf_dir):
+    return together.reach(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey").withColumnRenamed("left", "k")
+
+
 @query("AGG16B")
 def agg16(spark, sf_dir):
     return genes.two_hop_dictionary(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("entry")))
