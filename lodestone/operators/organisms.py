@@ -10,7 +10,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -53,7 +52,9 @@ def dictionary(taxonomy: DataFrame) -> Dictionary:
     second = words.select(F.lower(F.get("w", F.lit(1))).alias("code")).where("code is not null and code not like '%degrading%'")
     codes = second.union(words.select(F.lower(F.element_at("w", -1)))).where("code <> ''")
     one = lambda a, b, key: a.unionByName(b).groupBy(key).agg(F.max("full").alias("full"), F.max(~F.col("full")).alias("brief"))
-    return Dictionary(one(full, short, "cap"), one(name.select("pair", F.lit(True).alias("full")), brief.select("pair", F.lit(False).alias("full")), "pair"), codes.distinct())
+    tables = one(full, short, "cap"), one(name.select("pair", F.lit(True).alias("full")), brief.select("pair", F.lit(False).alias("full")), "pair"), codes.distinct()
+    # written, so that Spark knows their size: a large taxonomy of few names would be taken for a large dictionary
+    return Dictionary(*[scratch.written(t) for t in tables])
 
 
 def detect(articles: DataFrame, names: Dictionary, tokens: str = "tokens", key: str = "article") -> DataFrame:
@@ -69,13 +70,11 @@ def detect(articles: DataFrame, names: Dictionary, tokens: str = "tokens", key:
     w = lambda i: F.coalesce(F.get(tokens, i), F.lit(""))
     runs = F.transform(F.sequence(F.lit(0), F.size(tokens) - 2), lambda i: F.struct(w(i).alias("a"), w(i + 1).alias("b"), w(i + 2).alias("c"), w(i + 3).alias("d")))
     four = articles.where(F.size(tokens) > 1).select(F.col(key).alias("__key"), F.posexplode(runs).alias("pos", "r")).select("__key", "pos", "r.*").where("a <> '' and b <> ''")
-    met = four.withColumn("cap", capital(F.col("a"))).join(names.genera, "cap")
-    own = W.partitionBy("__key")
-    met = met.withColumn("any_full", F.max("full").over(own))
-    met = met.where((F.col("full") | (F.col("brief") & ~F.col("any_full"))) & ~F.col("a").rlike("^[0-9]") & ~((F.length("a") == 1) & (F.length("b") == 1)))
-    met = met.select("__key", "pos", "a", "b", "c", "d", F.lower(F.concat_ws(" ", "a", "b")).alias("pair"))
-    named = met.join(names.pairs, "pair", "left").withColumn("general", F.lower("b").isin(*GENERAL))
-    named = named.where("full or brief or general")
+    met = four.withColumn("cap", capital(F.col("a"))).join(names.genera.withColumnsRenamed({"full": "genus", "brief": "initial"}), "cap")
+    met = met.withColumn("fits", ~F.col("a").rlike("^[0-9]") & ~((F.length("a") == 1) & (F.length("b") == 1)))
+    met = met.withColumn("pair", F.lower(F.concat_ws(" ", "a", "b"))).withColumn("general", F.lower("b").isin(*GENERAL))
+    named = met.join(names.pairs, "pair", "left").withColumn("named", F.col("fits") & (F.coalesce("full", F.lit(False)) | F.coalesce("brief", F.lit(False)) | F.col("general")))
+    named = named.where("genus or named")
     third, fourth = names.codes.select(F.col("code").alias("c3"), F.lit(True).alias("k3")), names.codes.select(F.col("code").alias("c4"), F.lit(True).alias("k4"))
     named = named.join(third, F.col("general") & (F.lower("c") == F.col("c3")), "left").join(fourth, F.col("general") & F.lower("c").isin(*COLLECTIONS) & (F.lower("d") == F.col("c4")), "left")
     collection = F.lower("c").isin(*COLLECTIONS)
@@ -83,12 +82,16 @@ def detect(articles: DataFrame, names: Dictionary, tokens: str = "tokens", key:
     takes4 = takes3 & collection & (F.col("d") != "") & (F.col("d").rlike(CODE) | F.col("k4").isNotNull())
     name = F.when(takes4, F.concat_ws(" ", "a", "b", "c", "d")).when(takes3, F.concat_ws(" ", "a", "b", "c")).otherwise(F.concat_ws(" ", "a", "b"))
     sure = F.coalesce(F.col("full"), F.lit(False)) | F.col("general")
-    in_order = lambda which: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("pos", "name")))), lambda s: s["name"]))
-    found = named.withColumn("name", name).groupBy("__key").agg(in_order(sure).alias("__sure"), in_order(~sure).alias("__brief"))
-    out = articles.join(found, F.col(key) == F.col("__key"), "left")
-    yeast = F.when(F.exists(tokens, lambda t: F.lower(t) == "yeast"), F.array(F.lit("yeast")))
+    # initials count by what the row holds, which is told once its names are together; rows travel as names, not as tokens
+    hits = named.select("__key", "genus", F.when(F.col("named"), F.struct("pos", name.alias("name"), "genus", sure.alias("sure"))).alias("hit"))
+    found = hits.groupBy("__key").agg(F.max("genus").alias("any"), F.sort_array(F.collect_list("hit")).alias("hits"))
+    in_order = lambda which: F.array_distinct(F.transform(F.filter("hits", lambda h: (h["genus"] | ~F.col("any")) & which(h["sure"])), lambda h: h["name"]))
+    found = found.select("__key", in_order(lambda s: s).alias("__sure"), in_order(lambda s: ~s).alias("__brief"))
+    # told before the join, which then carries no tokens for those who ask for names alone
+    out = articles.withColumn("__yeast", F.exists(tokens, lambda t: F.lower(t) == "yeast")).join(found, F.col(key) == F.col("__key"), "left")
+    yeast = F.when(F.col("__yeast"), F.array(F.lit("yeast")))
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
-    return out.withColumn("organisms", F.coalesce(some("__sure"), some("__brief"), yeast)).drop("__key", "__sure", "__brief")
+    return out.withColumn("organisms", F.coalesce(some("__sure"), some("__brief"), yeast)).drop("__key", "__sure", "__brief", "__yeast")
 
 
 def cascade(articles: DataFrame, sources: list[str], extract, out: str, ignore: Column | None = None) -> DataFrame:

@@ -61,7 +61,7 @@ def name_words(texts: DataFrame, genera: DataFrame, text: str = "text", key: str
     places = rows.groupBy("__key", "word").agg(F.collect_list("pos").alias("at")).join(known, "word", "left")
     always = F.col("known") | F.col("word").rlike("^[0-9]{1,2}$") | (F.col("word") == "sp")
     at = F.when(always, F.col("at")).when(F.length("word") > 2, F.array(F.array_min("at")))
-    found = places.select("__key", F.explode(at).alias("pos"), "word").groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
+    found = places.select("__key", F.explode(at).alias("pos"), "word").groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("w"))
     words = F.coalesce(F.transform("w", lambda s: s["word"]), F.expr("cast(array() as array<string>)"))
     return texts.select(key).join(found, F.col(key) == F.col("__key"), "left").select(key, words.alias("words"))
 
@@ -85,7 +85,7 @@ def replace_names(texts: DataFrame, synonyms: DataFrame, text: str = "text", key
     # an array of one element binds the tokens, which would be made again for each of them otherwise
     starts = texts.select(F.col(key).alias("__key"), F.explode(F.get(F.transform(F.array(_tokens(F.lower(text))), heads), F.lit(0))).alias("s"))
     starts = starts.select("__key", F.col("s.pos").alias("pos"), F.explode("s.heads").alias("head"))
-    hits = starts.join(names, "head").groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("n")).alias("less"), "n", "old", "new"))).alias("__hits"))
+    hits = starts.join(names, "head").groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("pos", (-F.col("n")).alias("less"), "n", "old", "new"))).alias("__hits"))
     end = lambda h: h["pos"] + h["n"]
     part = lambda t, a, b: F.array_join(F.slice(t, a + 1, F.greatest(b - a, F.lit(0))), "")
 
@@ -115,7 +115,7 @@ def full_names(lists: DataFrame, known: DataFrame, names: str = "organisms", key
     rows = lists.select(F.col(key).alias("__key"), F.posexplode(names).alias("pos", "name")).join(table, "name", "left")
     short = (F.length(F.substring_index("name", " ", 1)) == 1) & ~F.col("name").isin(STAY_SHORT)
     rows = rows.withColumn("name", F.when(short, F.col("full")).otherwise(F.col("name"))).where("name is not null")
-    found = rows.groupBy("__key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]).alias("__names"))
+    found = rows.groupBy("__key").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]).alias("__names"))
     return lists.join(found, F.col(key) == F.col("__key"), "left").withColumn(names, F.col("__names")).drop("__key", "__names")
 
 

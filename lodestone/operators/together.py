@@ -40,4 +40,4 @@ def reach(rows: DataFrame, group: str, value: str) -> DataFrame:
 def in_file_order(table: DataFrame, group: str, value: Column, by: Column) -> DataFrame:
     """(group, values): the values of a group by an order; those that tie stand as in the file of table, which is read from files."""
     rows = table.select(group, F.struct(by.alias("by"), F.col("_metadata.row_index").alias("at"), value.alias("v")).alias("e"))
-    return rows.groupBy(group).agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["v"]).alias("values"))
+    return rows.groupBy(group).agg(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["v"]).alias("values"))
