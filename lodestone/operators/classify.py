@@ -18,6 +18,11 @@ def features(column: str, prefix: str, vocabulary: int = 1 << 18) -> list:
     ]
 
 
+def dealt(rows: DataFrame, key: str, each: int = 12_000) -> DataFrame:
+    """rows in tasks of about `each` of them, whatever the files' splits are: learners keep the words of a whole task."""
+    return rows.repartition(max(8, -(-rows.select(key).count() // each)), key)
+
+
 def logistic(x: str, label: str = "label") -> LogisticRegression:
     return LogisticRegression(featuresCol=x, labelCol=label, regParam=0.01)
 

@@ -455,7 +455,7 @@ def _labelled(spark, sf_dir):
 def ml8(spark, sf_dir):
     from pyspark.ml import Pipeline
 
-    d = _labelled(spark, sf_dir)
+    d = classify.dealt(_labelled(spark, sf_dir), "doc_id")
     fitted = Pipeline(stages=[*classify.features("text", "text"), classify.logistic("text_x")]).fit(d)
     weights = sorted(zip(fitted.stages[1].vocabulary, fitted.stages[-1].coefficients.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
     return spark.createDataFrame([*weights[:20], *weights[-20:]], "word string, weight double")
